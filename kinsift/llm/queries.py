@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsift.llm import split_groups, topn
+from kinsift.llm import mojibake, split_groups, topn, unify_text
 from kinsift.session import table
 
 
@@ -32,7 +32,37 @@ def p4_assignment(spark: SparkSession, d: str) -> DataFrame:
     ).select("source1_entity_id", "split")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_assignment": p4_assignment}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose core or atok holds look-alike or unseen characters."""
+    rows = table(spark, d, "records", "entity_id", "core", "atok")
+    return unify_text.affected(rows, ["core", "atok"]).select("entity_id").distinct()
+
+
+def p2_unified(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of core and atok of every affected record."""
+    rows = table(spark, d, "records", "entity_id", "core", "atok")
+    return unify_text.affected(rows, ["core", "atok"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage read in a wrong charset."""
+    return mojibake.garbled_documents(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The restored text of those documents."""
+    return mojibake.restored_documents(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_unified": p2_unified,
+    "p4_found": p4_found,
+    "p4_assignment": p4_assignment,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+}
 
 ORACLE = {
     "p1_found": """
