@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsift.llm import mojibake, split_groups, topn, unify_text
+from kinsift.llm import addresses, mojibake, split_groups, topn, unify_text
 from kinsift.session import table
 
 
@@ -44,6 +44,11 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify_text.affected(rows, ["core", "atok"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records whose addresses denote the same building."""
+    return addresses.same_address_pairs(table(spark, d, "records"), table(spark, d, "record_tokens"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage read in a wrong charset."""
     return mojibake.garbled_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -60,6 +65,7 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p4_found": p4_found,
     "p4_assignment": p4_assignment,
+    "p5_found": p5_found,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
