@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsift.llm import addresses, mojibake, split_groups, topn, unify_text
+from kinsift.llm import addresses, mojibake, names, split_groups, topn, unify_text
 from kinsift.session import table
 
 
@@ -49,6 +49,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address_pairs(table(spark, d, "records"), table(spark, d, "record_tokens"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that name the same organisation in other words."""
+    return names.name_pairs(table(spark, d, "records", "entity_id", "core", "legal"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage read in a wrong charset."""
     return mojibake.garbled_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -66,6 +71,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_assignment": p4_assignment,
     "p5_found": p5_found,
+    "p6_found": p6_found,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
