@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kinsift.llm.arrow import batch_of
 from kinsift.session import materialize
 
 # Charsets that text is written in, and those it is wrongly read in.
@@ -187,6 +188,10 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+VOTES = "kind string, key string, variant string, twin string, how array<bigint>"
+IMAGES = "word string, clean string, n_clean bigint, how bigint"
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, variant, twin): those that a transformation explains,
     with the numbers of the transformations that do."""
@@ -206,9 +211,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hit:
                 out.append((kind, key, variant, twin, hit))
         if out:
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame(out, columns=["kind", "key", "variant", "twin", "how"]), preserve_index=False
-            )
+            yield batch_of(out, VOTES)
 
 
 def _told(key) -> object:
@@ -250,7 +253,7 @@ def learn(documents: DataFrame, min_votes: int = 2, ratio: int = 4) -> dict:
     )
     voted = materialize(
         pairs.repartition("twin").mapInArrow(
-            _vote, "kind string, key string, variant string, twin string, how array<bigint>"
+            _vote, VOTES
         ),
         "votes",
     )
@@ -274,9 +277,7 @@ def _apply(chosen: list[int]):
                     if len(_FOREIGN.findall(image)) >= 2 or len(_ASCII_RUN.sub("", image)) <= len(image) - 2:
                         out.append((image, word, n, how[0]))
             if out:
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame(out, columns=["word", "clean", "n_clean", "how"]), preserve_index=False
-                )
+                yield batch_of(out, IMAGES)
 
     return run
 
@@ -285,7 +286,7 @@ def garbled_words(units: DataFrame, chosen: list[int]) -> DataFrame:
     """(word, clean, how): words that are the image of a more frequent word."""
     lexicon = units.where("kind = 'c'").groupBy(F.col("variant").alias("word")).agg(F.sum("n").alias("n"))
     images = lexicon.where("n > 1").select("word", "n").mapInArrow(
-        _apply(chosen), "word string, clean string, n_clean bigint, how bigint"
+        _apply(chosen), IMAGES
     )
     return (
         images.join(lexicon, "word")

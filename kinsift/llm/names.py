@@ -15,11 +15,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from kinsift.llm.arrow import batch_of
 from kinsift.llm.strings import allowed, inside, plain, sound, within
 from kinsift.llm.unify_text import unify
 from kinsift.session import materialize
@@ -74,6 +74,7 @@ class Lexicon:
         """``counts``: (word, occurrences, occurrences in front)."""
         self.base: dict[str, tuple[str, str]] = {n: ("first", n) for n in FIRST_NAMES}
         self.base |= {t: ("trade", t) for t in TRADES}
+        self.size = 0
         self.trades: list[str] = list(TRADES)
         for word, n, front in sorted(counts, key=lambda x: (-x[1], x[0])):
             if len(word) < 3 or word in LEGAL or word in LINKS or word in self.base or word in NICKNAMES:
@@ -106,21 +107,39 @@ class Lexicon:
             return ("trade", TRADE_SHORT[word])
         if len(word) < 4:
             return None
-        near, near_at = None, 9
         bones = _bones(word) if not _VOWELS.search(word[1:]) else None
-        heard = sound(word)
-        for kind, name in [("trade", t) for t in self.trades] + [("first", f) for f in FIRST_NAMES]:
-            if kind == "trade":
-                if word == name + "s" or name == word + "s" or (len(name) > len(word) >= 4 and name.startswith(word)):
-                    return (kind, name)
-                if bones and (bones == _bones(name) or (bones[-1:] == "s" and bones[:-1] == _bones(name))):
-                    return (kind, name)
-            if len(word) >= 5 and abs(len(word) - len(name)) <= 3:
+        for name, flat in self.near_trades(word[0]):
+            if word == name + "s" or name == word + "s" or (len(name) > len(word) and name.startswith(word)):
+                return ("trade", name)
+            if bones and (bones == flat or (bones[-1:] == "s" and bones[:-1] == flat)):
+                return ("trade", name)
+        if len(word) < 5:
+            return None
+        best, best_at, heard = None, 9, sound(word)
+        for kind, name, said in self.near_names(word[0]):
+            if abs(len(heard) - len(said)) <= 2:
                 limit = 1 if len(name) < 8 else 2
-                at = within(heard, sound(name), limit)
-                if at <= limit and at < near_at and word[0] in name[:2]:
-                    near, near_at = (kind, name), at
-        return near
+                at = within(heard, said, limit)
+                if at <= limit and at < best_at:
+                    best, best_at = (kind, name), at
+        return best
+
+    def near_trades(self, letter: str) -> list[tuple[str, str]]:
+        """Trades that start with a letter, with their consonants."""
+        if len(self.trades) != self.size:
+            self.size, self.by_start, self.by_near = len(self.trades), {}, {}
+        got = self.by_start.get(letter)
+        if got is None:
+            got = self.by_start[letter] = [(t, _bones(t)) for t in self.trades if t[0] == letter]
+        return got
+
+    def near_names(self, letter: str) -> list[tuple[str, str, str]]:
+        """All words that have a letter among their first two, with their sound."""
+        got = self.by_near.get(letter)
+        if got is None:
+            every = [("trade", t) for t in self.trades] + [("first", f) for f in sorted(FIRST_NAMES)]
+            got = self.by_near[letter] = [(k, w, sound(w)) for k, w in every if letter in w[:2]]
+        return got
 
     def __call__(self, word: str) -> tuple[str, str] | None:
         if word not in self.memo:
@@ -335,6 +354,10 @@ def _bander(rows: int, bands: int, seed: int = 7):
     return run
 
 
+PARSED = "entity_id string, core string, node bigint, first string, trade string, rest array<string>, form string"
+EDGES = "a bigint, b bigint, sim double"
+
+
 def _parser(counts: list[tuple[str, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(counts)
@@ -347,10 +370,7 @@ def _parser(counts: list[tuple[str, int, int]]):
                 node = _hash(first, trade, " ".join(rest), "" if trade else form)
                 out.append((entity, core, node, first, trade, list(rest), form))
             if out:
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame(out, columns=["entity_id", "core", "node", "first", "trade", "rest", "form"]),
-                    preserve_index=False,
-                )
+                yield batch_of(out, PARSED)
 
     return run
 
@@ -362,10 +382,7 @@ def parsed_names(records: DataFrame) -> DataFrame:
     rows = records.select("entity_id", "core", "legal").where(
         "entity_id is not null and trim(core) not in ('', '<null>')"
     ).distinct()
-    return rows.mapInArrow(
-        _parser(counts),
-        "entity_id string, core string, node bigint, first string, trade string, rest array<string>, form string",
-    )
+    return rows.mapInArrow(_parser(counts), PARSED)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +393,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if got > 0:
                 out.append((a, b, got))
         if out:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["a", "b", "sim"]), preserve_index=False)
+            yield batch_of(out, EDGES)
 
 
 def name_edges(nodes: DataFrame) -> DataFrame:
@@ -409,7 +426,7 @@ def name_edges(nodes: DataFrame) -> DataFrame:
     )
     side = nodes.select("node", F.struct("first", "trade", "rest").alias("x"))
     both = pairs.join(side.toDF("a", "xa"), "a").join(side.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return both.mapInArrow(_verify, "a bigint, b bigint, sim double")
+    return both.mapInArrow(_verify, EDGES)
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsift.llm import addresses, mojibake, names, split_groups, topn, unify_text
+from kinsift.llm import addresses, match, mojibake, names, split_groups, topn, unify_text
 from kinsift.session import table
 
 
@@ -54,6 +54,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(table(spark, d, "records", "entity_id", "core", "legal"))
 
 
+def _match_inputs(spark: SparkSession, d: str):
+    return (
+        table(spark, d, "records"),
+        table(spark, d, "record_tokens"),
+        table(spark, d, "positives"),
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the same organisation at the same place for unlabelled S1 ids."""
+    return match.unlabelled_matches(*_match_inputs(spark, d)).select("source1_entity_id", "matched_entity_id").distinct()
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All matched pairs with their confidence."""
+    return match.matches(*_match_inputs(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage read in a wrong charset."""
     return mojibake.garbled_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -72,6 +90,8 @@ QUERIES = {
     "p4_assignment": p4_assignment,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
