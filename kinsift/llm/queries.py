@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsift.llm import addresses, match, mojibake, names, split_groups, topn, unify_text
-from kinsift.session import table
+from kinsift.llm import addresses, match, mix, mojibake, names, pack, split_groups, tokens, topn, unify_text
+from kinsift.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,31 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return match.matches(*_match_inputs(spark, d))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of all documents, written once."""
+    return materialize(tokens.with_token_counts(table(spark, d, "documents", "doc_id", "source", "text")), "sizes")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in containers of every capacity."""
+    return pack.packed(_sizes(spark, d), table(spark, d, "pack_bins"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    return pack.fill_report(p8_packed(spark, d), table(spark, d, "pack_bins"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of every text in the mix."""
+    return mix.mixed(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mix.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage read in a wrong charset."""
     return mojibake.garbled_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -92,6 +117,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
