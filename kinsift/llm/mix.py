@@ -113,7 +113,7 @@ def mixed(sizes: DataFrame, mix_targets: DataFrame, total_tokens: float | None =
     whole = F.floor("rate")
     rated = rated.withColumn("whole", whole).withColumn("part", F.col("rate") - whole)
     rated = rated.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")))
-    order = Window.partitionBy("source", "bin").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    order = Window.partitionBy("source", "bin").orderBy("n_tokens", F.xxhash64("doc_id", F.lit(9)), "doc_id")
     running = F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, 0))
     start = F.pmod(F.xxhash64("source", "bin"), F.lit(1_000_003)) / 1_000_003
     extra = F.floor(running + start) - F.floor(running - F.col("part") + start)
