@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsift.operators import skew
+from kinsift.plans import decisions, retrieval
 from kinsift.session import table
 
 
@@ -25,7 +26,7 @@ _PAIRS = rf"""
         lower(regexp_replace(token, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS token FROM token_postings)
     WHERE length(token) >= 2 AND candidate_entity_id IS NOT NULL AND candidate_source IS NOT NULL"""
 
-QUERIES = {"p3_found": p3_found, "p3_token_counts": p3_token_counts}
+QUERIES = {"p3_found": p3_found, "p3_token_counts": p3_token_counts} | retrieval.QUERIES | decisions.QUERIES
 
 ORACLE = {
     "p3_found": f"""
@@ -36,8 +37,9 @@ ORACLE = {
         WHERE n >= 0.015 * total""",
     "p3_token_counts": f"""
         SELECT candidate_source, token, count(*) AS n_candidates FROM ({_PAIRS}) GROUP BY ALL""",
-}
+} | retrieval.ORACLE | decisions.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p3_found(spark, d)
+    """Capped IDF-weighted name blocking."""
+    return retrieval.block_name(spark, d)
