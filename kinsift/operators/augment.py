@@ -18,26 +18,31 @@ def copies(ident: Column) -> Column:
     return F.when(u < EXTRA[0], 0).when(u < EXTRA[0] + EXTRA[1], 1).otherwise(2)
 
 
-def typo(text: Column, ident: Column, salt: str) -> Column:
-    """Swaps two neighbours or drops a letter inside the first word of five letters or more."""
-    word = F.regexp_extract(text, r"\b([A-Za-z]{5,})\b", 1)
-    at = (F.floor(uniform(ident, salt + "at") * F.greatest(F.length(word) - 3, F.lit(1))) + 2).cast("int")
+def with_typo(df: DataFrame, text: str, ident: str, salt: str) -> DataFrame:
+    """Swaps two neighbours or drops a letter inside the first word of five
+    letters or more. Each step is a column of its own, so nothing is computed twice."""
+    at, word = F.col("__at"), F.col("__word")
+    df = df.withColumn("__word", F.regexp_extract(text, r"\b([A-Za-z]{5,})\b", 1))
+    df = df.withColumn("__at", (F.floor(uniform(F.col(ident), salt + "at") * F.greatest(F.length(word) - 3, F.lit(1))) + 2).cast("int"))
     swapped = F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.lit(1)), F.substring(word, at, F.lit(1)), F.substring(word, at + 2, F.length(word)))
     cut = F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word)))
-    new = F.when(uniform(ident, salt + "how") < 0.5, swapped).otherwise(cut)
-    return F.when(word == "", text).otherwise(F.replace(text, word, new))
+    df = df.withColumn("__new", F.when(uniform(F.col(ident), salt + "how") < 0.5, swapped).otherwise(cut))
+    hit = (word != "") & (uniform(F.col(ident), salt) < 0.25)
+    return df.withColumn(text, F.when(hit, F.replace(text, word, F.col("__new"))).otherwise(F.col(text))).drop("__word", "__at", "__new")
 
 
-def name_variant(name: Column, ident: Column, vocabulary: Column) -> Column:
+def with_name_variant(df: DataFrame, name: str, ident: str, vocabulary: list[str]) -> DataFrame:
     """Branch word (55 %, behind in 80 % of them), legal suffix (35 %), typo
     (25 %) and change of case."""
-    pick = F.element_at(vocabulary, (F.floor(uniform(ident, "word") * F.size(vocabulary)) + 1).cast("int"))
-    out = F.when((uniform(ident, "branch") < 0.55) & (F.size(vocabulary) > 0),
-                 F.when(uniform(ident, "side") < 0.8, F.concat_ws(" ", name, pick)).otherwise(F.concat_ws(" ", pick, name))).otherwise(name)
-    out = F.when(uniform(ident, "legal") < 0.35, F.concat(out, F.lit(" ltd"))).otherwise(out)
-    out = F.when(uniform(ident, "typo") < 0.25, typo(out, ident, "typo")).otherwise(out)
-    u = uniform(ident, "case")
-    return F.when(u < 0.3, F.upper(out)).when(u < 0.6, F.initcap(out)).otherwise(out)
+    i = F.col(ident)
+    if vocabulary:
+        words = F.array(*[F.lit(w) for w in vocabulary])
+        pick = F.element_at(words, (F.floor(uniform(i, "word") * len(vocabulary)) + 1).cast("int"))
+        placed = F.when(uniform(i, "side") < 0.8, F.concat_ws(" ", name, pick)).otherwise(F.concat_ws(" ", pick, name))
+        df = df.withColumn(name, F.when(uniform(i, "branch") < 0.55, placed).otherwise(F.col(name)))
+    df = df.withColumn(name, F.when(uniform(i, "legal") < 0.35, F.concat(name, F.lit(" ltd"))).otherwise(F.col(name)))
+    df = with_typo(df, name, ident, "typo").withColumn("__u", uniform(i, "case"))
+    return df.withColumn(name, F.when(F.col("__u") < 0.3, F.upper(name)).when(F.col("__u") < 0.6, F.initcap(name)).otherwise(F.col(name))).drop("__u")
 
 
 def addr_variant(addr: Column, ident: Column) -> Column:
@@ -51,12 +56,12 @@ def duplicates(records: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Variants of the given records, each landing in source 2 or 3 under an id
     ``S<src>-A<hash>`` of its own."""
     many = records.withColumn("copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("copy") <= copies(F.col("entity_id")))
-    ident = F.concat_ws("#", "entity_id", F.col("copy").cast("string"))
-    src = F.when(uniform(ident, "src") < 0.5, 2).otherwise(3)
-    words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
+    many = many.withColumn("__id", F.concat_ws("#", "entity_id", F.col("copy").cast("string")))
+    many = with_name_variant(many, "name", "__id", vocabulary)
+    src = F.when(uniform(F.col("__id"), "src") < 0.5, 2).otherwise(3)
     return many.select(
-        F.format_string("S%d-A%016x", src, F.xxhash64(ident)).alias("entity_id"), F.col("entity_id").alias("made_from"),
-        name_variant(F.col("name"), ident, words).alias("name"), addr_variant(F.col("addr"), ident).alias("addr"), "country",
+        F.format_string("S%d-A%016x", src, F.xxhash64("__id")).alias("entity_id"), F.col("entity_id").alias("made_from"),
+        "name", addr_variant(F.col("addr"), F.col("__id")).alias("addr"), "country",
     )
 
 
