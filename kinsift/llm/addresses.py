@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsift.llm.arrow import batch_of
 from kinsift.llm.strings import allowed, inside, plain, sound
 from kinsift.llm.unify_text import unify
-from kinsift.session import materialize
+from kinsift.session import bounded_broadcast, materialize
 
 # Words of addresses and what they stand for.
 KINDS = {
@@ -326,12 +326,12 @@ def parsed_addresses(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
     return given.union(stand_in).mapInArrow(_parse_rows, PARSED)
 
 
-def _keys(house: str, post: str, cut: bool, nth: str, segs: list[str], rare: list[str]) -> set[int]:
+def _keys(house: str, post: str, cut: bool, segs: list[str]) -> set[int]:
     """Hashes of component combinations of one address."""
     out = set()
     if post and not cut:
         out.add(_hash("p", house, post))
-    for s in rare or ():
+    for s in segs:
         out.add(_hash("s", house, s))
         if len(s) >= 5:
             out.update(_hash("s", house, s[:i] + s[i + 1 :]) for i in range(len(s)))
@@ -347,14 +347,25 @@ def _keys(house: str, post: str, cut: bool, nth: str, segs: list[str], rare: lis
     return out
 
 
+def _traits(*parts: str) -> int:
+    """15 bits of each part, 0 where it is not given: parts that differ here conflict."""
+    out = 0
+    for part in parts:
+        out = out << 15 | (1 + xxhash.xxh64_intdigest(part) % 32767 if part else 0)
+    return out
+
+
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        forms, keys = [], []
-        for form, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            got = _keys(*rest)
+        forms, keys, traits = [], [], []
+        for form, house, post, cut, segs, *told in zip(*(c.to_pylist() for c in batch.columns)):
+            got = _keys(house, post, cut, segs)
             forms += [form] * len(got)
+            traits += [_traits(*told)] * len(got)
             keys += got
-        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.int64()), pa.array(keys, pa.int64())], ["form", "key"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(forms, pa.int64()), pa.array(keys, pa.int64()), pa.array(traits, pa.int64())], ["form", "key", "traits"]
+        )
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,30 +381,35 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-#: A segment that more addresses than house numbers share is no street by itself.
-COMMON = 1000
+#: A key that more forms share is dealt into parts of about this size.
+CROWD = 1000
 
 
 def same_forms(parsed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different parsed forms that denote the same building."""
+    """Pairs (a, b) of different parsed forms that denote the same building.
+
+    Every key of every form counts, however many share it: the forms of a
+    crowded key are dealt into parts on one side of the join and copied to each
+    part on the other. Pairs whose direction, cross or main, kind or state
+    conflict go in the join.
+    """
     parts = ["house", "way", "nth", "kind", "post", "cut", "state", "segs"]
     forms = materialize(parsed.select("form", *parts).dropDuplicates(["form"]), "forms")
-    seg = forms.select("form", F.explode(F.array_distinct("segs")).alias("seg"))
-    rare = (
-        seg.join(seg.groupBy("seg").count().where(F.col("count") <= COMMON).select("seg"), "seg")
-        .groupBy("form")
-        .agg(F.collect_list("seg").alias("rare"))
-    )
-    keyed = forms.join(rare, "form", "left").select("form", "house", "post", "cut", "nth", "segs", "rare")
-    keyed = keyed.mapInArrow(_expand, "form bigint, key bigint")
-    keyed = materialize(keyed, "keys")
-    pairs = (
-        keyed.select(F.col("form").alias("a"), "key")
-        .join(keyed.select(F.col("form").alias("b"), "key"), "key")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
+    keyed = forms.select("form", "house", "post", "cut", "segs", "way", "nth", "kind", "state")
+    keyed = materialize(keyed.mapInArrow(_expand, "form bigint, key bigint, traits bigint"), "keys")
+    crowded = keyed.groupBy("key").count().where(F.col("count") > CROWD).select(
+        "key", F.ceil(F.col("count") / CROWD).cast("int").alias("parts")
     )
+    keyed = keyed.join(bounded_broadcast(materialize(crowded, "crowded"), 50_000), "key", "left")
+    deal = F.coalesce("parts", F.lit(1))
+    left = keyed.select(F.col("form").alias("a"), "key", F.col("traits").alias("ta"), F.pmod(F.xxhash64("form"), deal).cast("int").alias("part"))
+    right = keyed.select(F.col("form").alias("b"), "key", F.col("traits").alias("tb"), F.explode(F.sequence(F.lit(0), deal - 1)).alias("part"))
+    at = lambda c, k: F.shiftright(c, 15 * k).bitwiseAND(F.lit(32767))
+    agree = F.lit(True)
+    for k in range(4):
+        x, y = at("ta", k), at("tb", k)
+        agree = agree & ((x == 0) | (y == 0) | (x == y))
+    pairs = left.join(right, ["key", "part"]).where(F.col("a") < F.col("b")).where(agree).select("a", "b").distinct()
     side = forms.select("form", F.struct(*parts).alias("x"))
     both = pairs.join(side.toDF("a", "xa"), "a").join(side.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
     return both.mapInArrow(_judge, "a bigint, b bigint")
