@@ -16,6 +16,7 @@ filter of fixed size ever reaches the driver.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -262,7 +263,8 @@ def learn(documents: DataFrame, min_votes: int = 2, ratio: int = 4) -> dict:
     best = {r["k"]: r["count"] for r in sound.select(_leading(every).alias("k")).groupBy("k").count().collect()}
     chosen = sorted(k for k, n in best.items() if n >= min_votes)
     allowed = F.array(*[F.lit(k).cast("bigint") for k in chosen or [-1]])
-    twins = voted.where(F.arrays_overlap("how", allowed)).withColumn(
+    sound_twin = F.udf(lambda variant, twin: (read_back(twin, chosen) or ("",))[0] != variant, "boolean")
+    twins = voted.where(F.arrays_overlap("how", allowed)).where(sound_twin("variant", "twin")).withColumn(
         "how", F.array(_leading({k: every[k] for k in chosen}))
     )
     return {"units": units, "twins": twins, "chosen": chosen}
@@ -273,7 +275,10 @@ def _apply(chosen: list[int]):
         for batch in batches:
             out = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                back = read_back(word, chosen)
                 for image, how in _images(word, chosen).items():
+                    if back and back[0] == image:  # the word is the garbled one, however frequent
+                        continue
                     if len(_FOREIGN.findall(image)) >= 2 or len(_ASCII_RUN.sub("", image)) <= len(image) - 2:
                         out.append((image, word, n, how[0]))
             if out:
@@ -282,19 +287,70 @@ def _apply(chosen: list[int]):
     return run
 
 
+#: Charsets with symbols, no letters, where UTF-8 has continuation bytes; in others a short word of letters may be itself.
+SYMBOLS = {"cp1252", "latin-1", "iso8859-15", "cp1254"}
+
+
+def _plausible(text: str) -> bool:
+    """Whether the letters of a word are of one script and none of them is rare in any spelling."""
+    if not text.isprintable() or LOST in text or any("\u0180" <= c < "\u0250" and c not in "ȘșȚț" for c in text):
+        return False
+    scripts = {unicodedata.name(c, "?").split()[0] for c in text if c.isalpha() and c > "\xff"}
+    return len(scripts | {"LATIN" for c in text if c.isalpha() and c <= "\xff"}) <= 1
+
+
+def read_back(word: str, chosen: list[int]) -> tuple[str, int] | None:
+    """(clean, transformation) of a word that one of ``chosen`` reads back into
+    sound UTF-8, the shortest of them; None if there is none.
+
+    Bytes above 127 are valid UTF-8 by chance only rarely, so a lossless round
+    trip is evidence however rare the word is. Charsets of one byte a character
+    take any bytes and prove nothing; words written in them need a twin.
+    """
+    foreign = _FOREIGN.findall(word)
+    best = None
+    for k in chosen:
+        written, read, _ = TRANSFORMS[k]
+        if written != "utf-8" or read in READ_MULTI:
+            continue
+        if read not in SYMBOLS and len(foreign) < 6 and all(c.isalpha() for c in foreign):
+            continue
+        got = ungarble(word, TRANSFORMS[k])
+        if got is not None and got != word and _plausible(got) and (best is None or len(got) < len(best[0])):
+            best = got, k
+    return best
+
+
+def _read_back(chosen: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                got = read_back(word, chosen)
+                if got:
+                    out.append((word, *got))
+            if out:
+                yield batch_of(out, "word string, clean string, how bigint")
+
+    return run
+
+
 def garbled_words(units: DataFrame, chosen: list[int]) -> DataFrame:
-    """(word, clean, how): words that are the image of a more frequent word."""
+    """(word, clean, how): words that are the image of a more frequent word, or
+    that a learned transformation reads back into sound text, whatever the counts."""
     lexicon = units.where("kind = 'c'").groupBy(F.col("variant").alias("word")).agg(F.sum("n").alias("n"))
     images = lexicon.where("n > 1").select("word", "n").mapInArrow(
         _apply(chosen), IMAGES
     )
-    return (
+    by_count = (
         images.join(lexicon, "word")
         .where("n_clean > n")
         .groupBy("word")
         .agg(F.max(F.struct("n_clean", "clean", "how")).alias("top"))
         .select("word", "top.clean", "top.how")
     )
+    back = materialize(lexicon.select("word").mapInArrow(_read_back(chosen), "word string, clean string, how bigint"), "back")
+    return back.union(by_count.join(back.select("word"), "word", "left_anti"))
 
 
 _BLOOM_BITS = 1 << 24

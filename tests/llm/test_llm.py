@@ -175,3 +175,22 @@ def test_garbled_documents(spark):
     fixed = {r["doc_id"]: r["restored"] for r in mojibake.restored_documents(df).collect()}
     assert fixed[100] == "\n".join(lines)
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
+
+
+def test_garbled_text_is_found_whatever_the_counts(spark):
+    cp = ("utf-8", "cp1252", 1)
+    line = "the café crème of the garçon was très bonne near a forêt"
+    rows = [(i, f"{i} {line}") for i in range(20)] + [(100, mojibake.garble(line, cp)), (101, mojibake.garble(f"b {line}", cp))]
+    rows += [(200, mojibake.garble("we met the dépêche once", cp))]  # its clean word is nowhere
+    rows += [(300 + i, mojibake.garble("an old naïveté of kings", cp)) for i in range(30)]  # mirrored more often than the clean page
+    rows += [(400, "an old naïveté of kings"), (401, "ФЕ и Тест"), (402, "plain words")]
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restored_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == {100, 101, 200, *range(300, 330)}
+    assert got[200] == "we met the dépêche once" and got[310] == "an old naïveté of kings"
+
+
+def test_short_words_of_letters_are_not_read_back():
+    every = list(range(len(mojibake.TRANSFORMS)))
+    assert mojibake.read_back("ФЕ", every) is None and mojibake.read_back("café", every) is None
+    assert mojibake.read_back("l’équipe", every) is None  # Armenian through mac_roman
+    assert mojibake.read_back("cafÃ©", every)[0] == "café" and mojibake.read_back("donâ€™t", every)[0] == "don’t"
