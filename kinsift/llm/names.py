@@ -307,8 +307,9 @@ def bands_for(likeness: float, recall: float, rows: int) -> int:
 
 
 #: Bands of names that share first name and trade, and of names without trade.
-SAME_TRADE = (3, bands_for(0.4, 0.85, 3))
-NO_TRADE = (4, bands_for(0.5, 0.8, 4))
+#: Sized for a six-letter name with one changed letter, 3 of 9 padded trigrams.
+SAME_TRADE = (2, bands_for(1 / 3, 0.95, 2))
+NO_TRADE = (3, bands_for(1 / 3, 0.95, 3))
 
 
 def _hash(*parts: str) -> int:
@@ -429,7 +430,7 @@ def name_edges(nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, EDGES)
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, center): every node with the centre of its star.
 
     Nodes are ranked by having a trade, then by records, degree and id. A node
@@ -458,7 +459,7 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "node", F.col("node").alias("center")
     )
     done = materialize(done, "stars")
-    for _ in range(12):
+    for _ in range(rounds):
         if free.isEmpty():
             break
         top = free.groupBy("node").agg(F.max("r2").alias("best"), F.max("rank").alias("rank"))
@@ -484,8 +485,10 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "lone",
         )
         done = done.union(lone.select("node", F.col("node").alias("center")))
-    left = ends.select("node").distinct().join(done.select("node"), "node", "left_anti")
-    return done.union(left.select("node", F.col("node").alias("center")))
+    else:
+        if not free.isEmpty():
+            raise RuntimeError(f"star clusters are not settled after {rounds} rounds")
+    return done
 
 
 def named_clusters(records: DataFrame) -> DataFrame:
