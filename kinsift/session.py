@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     jdir = sc._jsc.sc().getCheckpointDir()
     if jdir.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinsift-"))
         jdir = sc._jsc.sc().getCheckpointDir()
     return jdir.get()
@@ -44,6 +46,16 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for frames that no one reads again."""
+    for df in frames:
+        for name in df.inputFiles()[:1]:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if "/kinsift/" in str(folder):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only if ``df`` is proven to have at most ``max_rows`` rows.
 
