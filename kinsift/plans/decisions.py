@@ -220,8 +220,9 @@ ORACLE = {
       SELECT i1, src, j FROM c WHERE s0 OR (NOT any0 AND is_top AND p >= 0.4 AND top - second >= 0.2)""",
     "cut_by_source": _sel("p >= CASE WHEN src = 2 THEN 0.5 ELSE 0.6 END"),
     "one_owner": f"WITH {_PR} SELECT i1, src, j FROM (SELECT *, row_number() OVER (PARTITION BY src, j ORDER BY p DESC, i1) AS n FROM pr WHERE p >= 0.4) WHERE n = 1",
-    "unseen_cut": f"""WITH {_PR}, {views.ENT_SQL}, x AS (SELECT pr.*, ent.country FROM pr JOIN ent ON ent.entity_id = pr.source1_entity_id)
-      SELECT i1, src, j FROM x WHERE p >= CASE WHEN country IN (SELECT country FROM x WHERE y = 1) THEN 0.5 ELSE 0.8 END""",
+    "unseen_cut": f"""WITH {_PR}, {views.ENT_SQL}, x AS (SELECT pr.*, ent.country FROM pr JOIN ent ON ent.entity_id = pr.source1_entity_id),
+        seen AS (SELECT DISTINCT country FROM x WHERE y = 1)
+      SELECT i1, src, j FROM x LEFT JOIN seen USING (country) WHERE p >= CASE WHEN seen.country IS NOT NULL THEN 0.5 ELSE 0.8 END""",
     "match_lists": f"""WITH {_PR}, b AS (SELECT source1_entity_id, matched_entity_id, max(p) AS p FROM pr WHERE p >= 0.5 GROUP BY ALL),
         l AS (SELECT source1_entity_id, string_agg(matched_entity_id, ',' ORDER BY p DESC, matched_entity_id) AS s FROM b GROUP BY 1)
       SELECT o.source1_entity_id, coalesce(l.s, '') AS matched_entity_ids FROM (SELECT DISTINCT entity_id AS source1_entity_id FROM records WHERE src = 1) o

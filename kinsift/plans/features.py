@@ -39,9 +39,9 @@ def house_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled pairs that share a true or a strong link, with both sides' texts."""
+    """All labelled candidates with both sides' texts."""
     ent = views.entities(spark, d)
-    pairs = views.labelled(spark, d).where("y = 1 or cs_all >= 0.3").select("i1", "src", "j", "source1_entity_id", "matched_entity_id", "cs_all", "y")
+    pairs = views.labelled(spark, d).select("i1", "src", "j", "source1_entity_id", "matched_entity_id", "cs_all", "y")
     a = ent.select(F.col("entity_id").alias("source1_entity_id"), F.col("core").alias("ca"), F.col("atok").alias("aa"))
     b = ent.select(F.col("entity_id").alias("matched_entity_id"), F.col("core").alias("cb"), F.col("atok").alias("ab"))
     return pairs.join(a, "source1_entity_id").join(b, "matched_entity_id")
@@ -57,13 +57,12 @@ def set_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def string_features(spark: SparkSession, d: str) -> DataFrame:
-    """Jaro-Winkler and edit similarity of the ASCII part of core names."""
-    p = _pair_texts(spark, d)
-    for c in ("ca", "cb"):
-        p = p.withColumn(c, F.regexp_replace(c, "[^ -~]", ""))
-    p = p.where("ca != '' and cb != ''")
+    """Jaro-Winkler and edit similarity of core names, spaced and joined."""
+    p = _pair_texts(spark, d).withColumn("xa", F.replace("ca", F.lit(" "), F.lit(""))).withColumn("xb", F.replace("cb", F.lit(" "), F.lit("")))
+    same = lambda a, b: (F.col(a) == F.col(b)).cast("int")
     return p.select("i1", "src", "j", F.round(similarity.jaro_winkler("ca", "cb"), 6).alias("jw"), F.round(similarity.edit_similarity(F.col("ca"), F.col("cb")), 6).alias("lev"),
-                    (F.col("ca") == F.col("cb")).cast("int").alias("eq"))
+                    F.round(similarity.jaro_winkler("xa", "xb"), 6).alias("cjw"), F.round(similarity.edit_similarity(F.col("xa"), F.col("xb")), 6).alias("clev"),
+                    same("ca", "cb").alias("eq"), same("xa", "xb").alias("ceq"))
 
 
 def ratio_features(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +198,7 @@ _MAP = lambda table: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items
 _LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
 _PT = f"""{LAB_SQL}, {ENT_SQL}, pt AS (SELECT l.i1, l.src, l.j, l.y, l.cs_all, a.core AS ca, b.core AS cb, a.atok AS aa, b.atok AS ab,
     {_WORDS.format('a.core')} AS a, {_WORDS.format('b.core')} AS b FROM lab l JOIN ent a ON a.entity_id = l.source1_entity_id
-    JOIN ent b ON b.entity_id = l.matched_entity_id WHERE l.y = 1 OR l.cs_all >= 0.3)"""
+    JOIN ent b ON b.entity_id = l.matched_entity_id)"""
 _INTER = "len(list_intersect(list_distinct(a), list_distinct(b)))"
 _NA, _NB = "len(list_distinct(a))", "len(list_distinct(b))"
 _G = lambda t, n: f"CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) < {n} THEN [{t}] ELSE list_distinct(list_transform(range(1, length({t}) - {n} + 2), lambda k: substring({t}, k, {n}))) END"
@@ -226,10 +225,6 @@ ORACLE = {
         round({_INTER} / greatest({_NA} + {_NB} - {_INTER}, 1), 6) AS jac, {_NB} - {_INTER} AS b_minus_a, {_NA} - {_INTER} AS a_minus_b, len(a) AS lta, len(b) AS ltb,
         CAST({_NB} > 0 AND {_INTER} = {_NB} AS INTEGER) AS b_sub_a, CAST({_NA} > 0 AND {_INTER} = {_NA} AS INTEGER) AS a_sub_b,
         CAST(a[1:1] = b[1:1] AS INTEGER) AS first_eq, CAST(a[-1:] = b[-1:] AS INTEGER) AS last_eq FROM pt""",
-    "string_features": f"""WITH {_PT}, x AS (SELECT i1, src, j, regexp_replace(ca, '[^ -~]', '', 'g') AS ca, regexp_replace(cb, '[^ -~]', '', 'g') AS cb FROM pt)
-      SELECT i1, src, j, round(jaro_winkler_similarity(ca, cb), 6) AS jw,
-        round(1 - levenshtein(ca, cb) / greatest(length(ca), length(cb)), 6) AS lev, CAST(ca = cb AS INTEGER) AS eq FROM x
-      WHERE ca <> '' AND cb <> ''""",
     "gram_features": f"""WITH {_PT}, c AS (SELECT *, replace(ca, ' ', '') AS x, replace(cb, ' ', '') AS z FROM pt),
         g AS (SELECT *, {_G('x', 3)} AS a3, {_G('z', 3)} AS b3, {_G('x', 4)} AS a4, {_G('z', 4)} AS b4 FROM c)
       SELECT i1, src, j, {', '.join(f'''CASE WHEN len(a{n}) = 0 OR len(b{n}) = 0 THEN 0.0 ELSE round(len(list_intersect(a{n}, b{n})) / {den.format(n=n)}, 6) END AS g{n}_{k}'''

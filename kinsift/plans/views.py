@@ -18,8 +18,8 @@ TRUTH_SQL = """truth AS (SELECT DISTINCT upper(trim(source1_entity_id)) AS sourc
     upper(trim(matched_entity_id)) AS matched_entity_id FROM positives
   WHERE source1_entity_id IS NOT NULL AND upper(trim(matched_entity_id)) IN (SELECT upper(trim(entity_id)) FROM records))"""
 LAB_SQL = f"""{CAND_SQL}, {TRUTH_SQL},
-  s1 AS (SELECT row_no AS i1, entity_id AS source1_entity_id FROM records WHERE src = 1),
-  rec AS (SELECT CAST(src AS INTEGER) AS src, row_no AS j, entity_id AS matched_entity_id FROM records WHERE src > 1),
+  s1 AS (SELECT DISTINCT row_no AS i1, entity_id AS source1_entity_id FROM records WHERE src = 1),
+  rec AS (SELECT DISTINCT CAST(src AS INTEGER) AS src, row_no AS j, entity_id AS matched_entity_id FROM records WHERE src > 1),
   lab AS (SELECT c.*, s1.source1_entity_id, rec.matched_entity_id,
       CASE WHEN t.matched_entity_id IS NULL THEN 0 ELSE 1 END AS y
     FROM cand c JOIN s1 USING (i1) JOIN rec USING (src, j)
@@ -57,8 +57,9 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with their ids and the label ``y``."""
-    rec = table(spark, d, "records", "entity_id", "src", "row_no")
+    """Candidates with their ids and the label ``y``, one row per (i1, src, j):
+    a record that is delivered again has its row number again."""
+    rec = table(spark, d, "records", "entity_id", "src", "row_no").distinct()
     s1 = rec.where("src = 1").select(F.col("row_no").alias("i1"), F.col("entity_id").alias("source1_entity_id"))
     other = rec.where("src > 1").select(F.col("src").cast("int").alias("src"), F.col("row_no").alias("j"), F.col("entity_id").alias("matched_entity_id"))
     return (
