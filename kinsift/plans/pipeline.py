@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinsift.functions import text
 from kinsift.operators import blocking, competition, context, decide
 from kinsift.operators.model import PairModel
-from kinsift.session import materialize
+from kinsift.session import materialize, small_rows
 
 FILTER_FEATURES = ["score", "shared", "n_cand", "score_gap", "score_rk", "comp_all_other", "comp_all_gap", "comp_all_rk", "comp_n_suitors"]
 
@@ -53,7 +53,7 @@ class LinkagePipeline:
     def fit(self, candidates: DataFrame, truth: DataFrame) -> "LinkagePipeline":
         pairs = self.labelled(candidates, truth)
         self.filter_model = PairModel(FILTER_FEATURES, rounds=self.rounds).fit(pairs)
-        self.seen = [r[0] for r in pairs.where("y = 1").select("country").distinct().limit(10_000).collect()]
+        self.seen = [r[0] for r in small_rows(pairs.where("y = 1").select("country").distinct(), 10_000, "countries with labels")]
         return self
 
     def score(self, candidates: DataFrame) -> DataFrame:

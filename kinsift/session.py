@@ -56,6 +56,14 @@ def discard(*frames: DataFrame) -> None:
                 folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_rows(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a table that must be small; an error beyond ``most``, never a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only if ``df`` is proven to have at most ``max_rows`` rows.
 
