@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinsift.session import materialize
+from kinsift.session import materialize, small_rows
 
 
 def balance(lengths: DataFrame, targets: dict[str, tuple[float, int]], total: float, rounds: int = 40) -> dict[str, float]:
@@ -91,7 +91,7 @@ def mixed(sizes: DataFrame, mix_targets: DataFrame, total_tokens: float | None =
     mix; texts with no copy are absent; repeated rows are texts of their own;
     empty tables give an empty result.
     """
-    rows = mix_targets.where("source is not null").select("source", "target_share", "max_repeats").limit(10_000).collect()
+    rows = small_rows(mix_targets.where("source is not null").select("source", "target_share", "max_repeats"), 10_000, "mix_targets")
     targets = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in rows}
     spark = sizes.sparkSession
     named = spark.createDataFrame([(s, float(m)) for s, (_, m) in targets.items()], "source string, cap double")

@@ -150,16 +150,17 @@ class Lexicon:
 
 
 def learn_lexicon(records: DataFrame, share: float = 0.001, least: int = 40) -> list[tuple[str, int, int]]:
-    """Words that at least ``share`` of all names hold, with the number of times
-    they stand in front. At most ``tokens per name / share`` words can qualify,
-    so what reaches the driver is bounded whatever the size of the table."""
+    """Words that stand in ``share`` of all names and in ``least`` more, which is
+    more than one organisation has, with the number of times they stand in
+    front. At most ``tokens per name / share`` words can qualify, so what
+    reaches the driver is bounded whatever the size of the table."""
     names = records.where("core is not null").select("entity_id", "core").distinct()
     total = names.count()
     words = names.mapInArrow(_words, "word string, n bigint, front bigint")
     rows = (
         words.groupBy("word")
         .agg(F.sum("n").alias("n"), F.sum("front").alias("front"))
-        .where(F.col("n") >= max(least, math.ceil(share * total)))
+        .where(F.col("n") >= least + math.ceil(share * total))
         .collect()
     )
     return [(r["word"], r["n"], r["front"]) for r in rows]

@@ -11,6 +11,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from kinsift.session import small_rows
+
 
 def _best_fill(room: int, lengths: list[int], left: dict[int, int]) -> list[tuple[int, int]]:
     """(length, count) whose sum comes closest to ``room`` without passing it.
@@ -82,11 +84,14 @@ def packed(sizes: DataFrame, bins: DataFrame, items_per_shard: int = 4000) -> Da
     capacity is NULL or below one; empty tables give an empty result; repeated
     rows are items of their own.
     """
+    spark, schema = sizes.sparkSession, "bin_name string, capacity_tokens int"
+    bins = bins.where("capacity_tokens >= 1").select("bin_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"))
+    bins = spark.createDataFrame([tuple(r) for r in small_rows(bins, 1000, "bins")], schema)
     shards = max(1, -(-sizes.count() // items_per_shard))
     pieces = (
         sizes.where("n_tokens > 0")
         .select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row"))
-        .crossJoin(F.broadcast(bins.where("capacity_tokens >= 1").limit(1000)))
+        .crossJoin(F.broadcast(bins))
         .withColumn("first_token", F.explode(F.expr("sequence(0L, n_tokens - 1, bigint(capacity_tokens))")))
         .withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("first_token"), F.col("capacity_tokens").cast("bigint")))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(shards)))
@@ -112,7 +117,7 @@ def fill_report(packing: DataFrame, bins: DataFrame) -> DataFrame:
     return (
         packing.groupBy("bin_name")
         .agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-        .join(F.broadcast(bins.limit(1000)), "bin_name")
+        .join(bins, "bin_name")
         .select("bin_name", "containers", "tokens",
                 (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
     )

@@ -32,6 +32,13 @@ def p4_assignment(spark: SparkSession, d: str) -> DataFrame:
     ).select("source1_entity_id", "split")
 
 
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and labels of that assignment against the targets."""
+    inputs = table(spark, d, "split_assign"), table(spark, d, "positives"), table(spark, d, "records", "entity_id")
+    labels = split_groups.linked_members(*inputs).select(F.col("member").alias("source1_entity_id"), "label")
+    return split_groups.balance(p4_assignment(spark, d), labels, table(spark, d, "split_targets"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose core or atok holds look-alike or unseen characters."""
     rows = table(spark, d, "records", "entity_id", "core", "atok")
@@ -113,6 +120,7 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p4_found": p4_found,
     "p4_assignment": p4_assignment,
+    "p4_balance": p4_balance,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,

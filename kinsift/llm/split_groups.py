@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kinsift.llm.components import connected_components
-from kinsift.session import materialize
+from kinsift.session import materialize, small_rows
 
 
 def normal_id(col: str):
@@ -131,6 +131,46 @@ def _anneal(sizes, labels, shares, goal_size, goal_label, start, seed, steps):
     return best, kept
 
 
+def _search(names: list[str], shares: list[float], steps: int):
+    """Pandas function of one shard and seed: one annealing run from the hashed
+    start, with its cost on every row."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        from bisect import bisect_right
+        from hashlib import blake2b
+        from itertools import accumulate
+
+        shard, seed = key
+        pdf = pdf.sort_values("component")
+        sizes, labels = [float(x) for x in pdf["size"]], [list(x) for x in pdf["labels"]]
+        whole, width, k = sum(sizes), len(labels[0]), len(names)
+        every = [sum(x[j] for x in labels) for j in range(width)]
+        edges = list(accumulate(shares))
+        start = []
+        for c in pdf["component"]:
+            u = int.from_bytes(blake2b(c.encode(), digest_size=8).digest(), "big") / 2**64
+            start.append(min(k - 1, bisect_right(edges, u * edges[-1])))
+        cost, kept = _anneal(
+            sizes, labels, shares, [g * whole for g in shares], [[g * x for x in every] for g in shares], start,
+            int(1_000 * (shard + 2) + seed), steps * len(sizes),
+        )
+        return pd.DataFrame({"shard": shard, "seed": seed, "cost": cost, "component": pdf["component"], "split": [names[s] for s in kept]})
+
+    return run
+
+
+FOUND = "shard bigint, seed int, cost double, component string, split string"
+
+
+def _best_runs(comp: DataFrame, names: list[str], shares: list[float], seeds: int, steps: int) -> DataFrame:
+    """(component, split, size) of the run of lowest cost of every shard of
+    ``comp(component, size, labels, shard)``; each shard and seed is a task's work of its own."""
+    many = comp.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    runs = materialize(many.groupBy("shard", "seed").applyInPandas(_search(names, shares, steps), FOUND), "runs")
+    best = runs.groupBy("shard").agg(F.min(F.struct("cost", "seed")).alias("b")).select("shard", "b.seed")
+    return runs.join(best, ["shard", "seed"]).select("component", "split").join(comp.select("component", "size"), "component")
+
+
 def assign_splits(
     members: DataFrame,
     targets: list[tuple[str, float]],
@@ -141,19 +181,18 @@ def assign_splits(
 ) -> DataFrame:
     """(member, component, split) that keeps every component whole.
 
-    ``members(member, component, label)`` holds one row per record. A component
-    larger than 1/400 of all records is heavy: at most 400 exist, and one task
-    searches their assignment. What they leave of each split's target is the
-    target of the rest, which is cut by hash into shards of about
-    ``shard_components`` components; each shard runs ``seeds`` searches from its
-    hashed start and keeps the best, so work is linear and no task holds more
-    than a shard. Shards aim at the same remaining proportions, which add up.
+    ``members(member, component, label)`` holds one row per record. Components
+    above 1/400 of all records, of which at most 400 exist, go first, as a shard
+    of their own; what they leave of each split's target is the target of the
+    rest, which is cut by hash into shards of about ``shard_components``
+    components. Each shard is searched from its hashed start with ``seeds``
+    seeds, every shard and seed in a task of its own, and the best run counts,
+    so work is linear and no task holds more than a shard. Shards aim at the
+    same remaining proportions, which add up.
 
     NULL labels are a label of their own; an empty input gives an empty result;
     a repeated member counts once.
     """
-    from pyspark.sql import Window
-
     names = [n for n, _ in targets]
     total_share = sum(s for _, s in targets)
     shares = [s / total_share for _, s in targets]
@@ -161,9 +200,7 @@ def assign_splits(
         ["member"]
     )
     members = materialize(members, "members")
-    label_names = sorted(r[0] for r in members.select("label").distinct().limit(33).collect())
-    if len(label_names) > 32:
-        raise ValueError("assign_splits needs at most 32 distinct labels")
+    label_names = sorted(r[0] for r in small_rows(members.select("label").distinct(), 32, "distinct labels"))
     comp = members.groupBy("component").agg(
         F.count(F.lit(1)).alias("size"),
         F.array(*[F.sum((F.col("label") == x).cast("double")) for x in label_names] or [F.lit(0.0)]).alias("labels"),
@@ -171,63 +208,38 @@ def assign_splits(
     comp = materialize(comp, "components")
     total, n_comp = comp.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     heavy_above = max(2, total // 400)
-    k, n_shards = len(names), max(1, -(-n_comp // shard_components))
-    width = max(1, len(label_names))
-
-    def search(sizes, labels, comps, goal_share, seed0):
-        from bisect import bisect_right
-        from hashlib import blake2b
-        from itertools import accumulate
-
-        whole = float(sum(sizes))
-        lab_total = [sum(x[j] for x in labels) for j in range(width)]
-        goal_size = [g * whole for g in goal_share]
-        goal_label = [[g * x for x in lab_total] for g in goal_share]
-        edges = list(accumulate(goal_share))
-        start = []
-        for c in comps:
-            u = int.from_bytes(blake2b(c.encode(), digest_size=8).digest(), "big") / 2**64
-            start.append(min(k - 1, bisect_right(edges, u * edges[-1])))
-        runs = (
-            _anneal(sizes, labels, goal_share, goal_size, goal_label, start, seed0 + s, steps_per_component * len(sizes))
-            for s in range(seeds)
-        )
-        return min(runs, key=lambda r: r[0])[1]
-
-    heavy = comp.where(F.col("size") > heavy_above).orderBy("component").toPandas()  # at most 400 rows
-    used, heavy_rows = [0.0] * k, []
-    if len(heavy):
-        got = search(
-            [float(x) for x in heavy["size"]], [list(x) for x in heavy["labels"]], list(heavy["component"]), shares, 17
-        )
-        for c, s, z in zip(heavy["component"], got, heavy["size"]):
-            used[s] += float(z)
-            heavy_rows.append((c, names[s]))
-    rest = [max(0.0, g * total - u) for g, u in zip(shares, used)]
+    n_shards = max(1, -(-n_comp // shard_components))
+    heavy = comp.where(F.col("size") > heavy_above).withColumn("shard", F.lit(-1).cast("bigint"))
+    heavy = materialize(_best_runs(heavy, names, shares, seeds, steps_per_component), "heavy")
+    used = {r["split"]: float(r["n"]) for r in heavy.groupBy("split").agg(F.sum("size").alias("n")).collect()}  # one row per split
+    rest = [max(0.0, g * total - used.get(n, 0.0)) for n, g in zip(names, shares)]
     rest = [r / sum(rest) for r in rest] if sum(rest) > 0 else shares
-
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component")
-        comps = list(pdf["component"])
-        got = search([float(x) for x in pdf["size"]], [list(x) for x in pdf["labels"]], comps, rest, 29)
-        return pd.DataFrame({"component": comps, "split": [names[s] for s in got]})
-
-    light = (
-        comp.where(F.col("size") <= heavy_above)
-        .withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(n_shards)))
-        .groupBy("shard")
-        .applyInPandas(shard, "component string, split string")
-    )
-    spark = members.sparkSession
-    chosen = light.union(spark.createDataFrame(heavy_rows, "component string, split string"))
-    return members.join(chosen, "component").select("member", "component", "split")
-
-
-def grouped_splits(
-    split_assign: DataFrame, positives: DataFrame, records: DataFrame, split_targets: DataFrame, **options
-) -> DataFrame:
-    """(source1_entity_id, component, split) for every S1 id of split_assign or
-    positives; the label that is balanced is the number of matches (0, 1, 2, 3+)."""
+    light = comp.where(F.col("size") <= heavy_above).withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(n_shards)))
+    chosen = _best_runs(light, names, rest, seeds, steps_per_component).union(heavy)
+    return members.join(chosen.drop("size"), "component").select("member", "component", "split")
+
+
+def balance(split_assignment: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, target_share, share, label_deviation): what an assignment reaches.
+    ``labels(source1_entity_id, label)``; the deviation is the largest
+    difference of a label's share in the split from its share in all."""
+    rows = split_assignment.join(labels, "source1_entity_id").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy("split").agg(F.sum("n").alias("n_split"))
+    every = rows.groupBy("label").agg(F.sum("n").alias("n_label"))
+    total = rows.agg(F.sum("n").alias("total"))
+    off = rows.join(per, "split").join(every, "label").crossJoin(F.broadcast(total)).groupBy("split").agg(
+        F.first("n_split").alias("n_split"), F.first("total").alias("total"),
+        F.max(F.abs(F.col("n") / F.col("n_split") - F.col("n_label") / F.col("total"))).alias("label_deviation"),
+    )
+    return targets.select(F.col("split_name").alias("split"), F.col("share").alias("target_share")).join(off, "split", "left").select(
+        "split", "target_share", F.coalesce(F.col("n_split") / F.col("total"), F.lit(0.0)).alias("share"),
+        F.coalesce("label_deviation", F.lit(0.0)).alias("label_deviation"),
+    )
+
+
+def linked_members(split_assign: DataFrame, positives: DataFrame, records: DataFrame) -> DataFrame:
+    """(member, component, label) for every S1 id of split_assign or positives;
+    the label is the number of matches (0, 1, 2, 3+)."""
     groups = record_groups(positives, records)
     known = records.select(normal_id("entity_id").alias("m")).distinct()
     links = (
@@ -246,7 +258,7 @@ def grouped_splits(
         .union(links.select("member"))
         .distinct()
     )
-    members = (
+    return (
         ids.join(matches, "member", "left")
         .join(groups.withColumnRenamed("source1_entity_id", "member"), "member", "left")
         .select(
@@ -255,5 +267,13 @@ def grouped_splits(
             F.least(F.coalesce("n", F.lit(0)), F.lit(3)).cast("string").alias("label"),
         )
     )
-    targets = [(r[0], float(r[1])) for r in split_targets.select("split_name", "share").orderBy("split_name").limit(1000).collect()]
-    return assign_splits(members, targets, **options).withColumnRenamed("member", "source1_entity_id")
+
+
+def grouped_splits(
+    split_assign: DataFrame, positives: DataFrame, records: DataFrame, split_targets: DataFrame, **options
+) -> DataFrame:
+    """(source1_entity_id, component, split) for every S1 id of split_assign or
+    positives; the label that is balanced is the number of matches."""
+    members = linked_members(split_assign, positives, records)
+    rows = small_rows(split_targets.select("split_name", "share").orderBy("split_name"), 1000, "split_targets")
+    return assign_splits(members, [(r[0], float(r[1])) for r in rows], **options).withColumnRenamed("member", "source1_entity_id")
