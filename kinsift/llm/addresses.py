@@ -71,12 +71,14 @@ _HOUSE = re.compile(r"0*([0-9]{1,4})([a-z]?)$")
 _NTH = re.compile(r"([0-9]{1,2})(st|nd|rd|th)$")
 
 
-def parse(text: str | None) -> tuple | None:
-    """Components of an address, or None if nothing is left of it.
+def parse(text: str | None, other: str | None = None) -> tuple | None:
+    """Components of an address in one reading, or None if nothing is left of it.
 
     (house, direction, numbered cross or main, kind, postcode, postcode is cut,
     state, street, other segments). Units, floors, building names and landmarks
-    are left out. Segments are joined tokens in their sound spelling.
+    are left out. Segments are joined tokens in their sound spelling. With
+    ``other`` the house is a number that is not this one, which may then be the
+    start of a postcode; None if there is no such number.
     """
     if not text:
         return None
@@ -143,27 +145,36 @@ def parse(text: str | None) -> tuple | None:
             role[i], post = ("zip", w), post or w
     signed = [i for i, w in enumerate(toks) if role[i] is None and i and toks[i - 1] in HOUSE_SIGNS and _HOUSE.match(w)]
     plainly = [i for i, w in enumerate(toks) if role[i] is None and _HOUSE.match(w)]
-    if len(plainly) > 1 and not post:  # the start of a postcode behind its state
+    if other is not None:
+        signed = []
+    if len(plainly) > 1 and not post and other is None:  # the start of a postcode behind its state
         for k in sorted(plainly, key=lambda k: (k < n - 1, not (k and role[k - 1] and role[k - 1][0] == "state"))):
             by_state = any(0 <= x < n and role[x] and role[x][0] == "state" for x in (k - 1, k + 1))
             if by_state and k and toks[k].isdigit() and k not in signed:
                 role[k], post, cut = ("zip", toks[k]), toks[k], True
                 plainly.remove(k)
                 break
-    if len(plainly) > 1 and not post and not signed and plainly[0] == 0:
+    if len(plainly) > 1 and not post and not signed and plainly[0] == 0 and other is None:
         # where the house number follows the street, a number in front is the start of a postcode
         behind = any(w in STREET_FIRST or (len(w) > 6 and w.endswith(tuple(KIND_SUFFIXES))) for w in toks)
         k = 0 if behind or plainly[1] == 1 else plainly[-1]
         if len(toks[k]) in (2, 3) and toks[k].isdigit():
             role[k], post, cut = ("zip", toks[k]), toks[k], True
             plainly.remove(k)
-    if signed or plainly:
-        k = (signed or plainly)[0]
+    houses = signed or plainly
+    if other is not None:  # a number at the end is a house only where houses follow their street
+        behind = any(w in STREET_FIRST or (len(w) > 6 and w.endswith(tuple(KIND_SUFFIXES))) for w in toks)
+        houses = [k for k in plainly if "".join(_HOUSE.match(toks[k]).groups()) != other and (k < n - 1 or behind)]
+    if other is not None and not houses:
+        return None
+    if houses:
+        k = houses[0]
         m = _HOUSE.match(toks[k])
         house = m[1] + m[2]
         role[k] = ("house", house)
         for x in plainly:
-            if x != k and role[x] is None and not post and x == n - 1:
+            start = x == n - 1 or (other is not None and toks[x].isdigit() and len(toks[x]) in (2, 3))
+            if x != k and role[x] is None and not post and start:
                 role[x], post, cut = ("zip", toks[x]), toks[x], True
             elif x != k and role[x] is None:
                 role[x] = ("drop", "")
@@ -211,6 +222,25 @@ def parse(text: str | None) -> tuple | None:
     return (house, way, nth, kind, post, cut, state, tuple(joined))
 
 
+def readings(text: str | None) -> list[tuple]:
+    """All plausible forms of an address, the likeliest first.
+
+    A text with several numbers, none of them marked as the house, is read with
+    each of two as the house, where a house may stand, and the other as the
+    start of a postcode or of no account; ``fl`` beside a short number is read as Florida and as a floor.
+    """
+    first = parse(text)
+    if first is None:
+        return []
+    out = [first]
+    if not HOUSE_SIGNS & set(plain(text).replace(".", " ").replace(",", " ").split()):
+        turned = parse(text, first[0]) if first[0] else None
+        if turned and turned[7]:
+            out.append(turned)
+    out += [(*x[:4], "", False, "", x[7]) for x in out if x[5] and x[6] == "fl"]
+    return list(dict.fromkeys(out))
+
+
 def from_tokens(words: list[str] | None, numbers: list[str] | None) -> str | None:
     """An address text from token lists: debris and country words go, numbers
     are put where their words are."""
@@ -282,7 +312,7 @@ def _hash(*parts: str) -> int:
 
 
 PARSED = (
-    "entity_id string, atok string, form bigint, house string, way string, nth string, kind string, post string, "
+    "entity_id string, atok string, reading int, form bigint, house string, way string, nth string, kind string, post string, "
     "cut boolean, state string, segs array<string>"
 )
 
@@ -291,19 +321,19 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for entity, atok, words, numbers in zip(*(c.to_pylist() for c in batch.columns)):
-            got = parse(atok) or parse(from_tokens(words, numbers))
-            if got is not None and got[0] and got[7]:
-                out.append((entity, atok, _hash(repr(got)), *got[:7], list(got[7])))
+            for k, got in enumerate(readings(atok) or readings(from_tokens(words, numbers))):
+                if got[0] and got[7]:
+                    out.append((entity, atok, k, _hash(repr(got)), *got[:7], list(got[7])))
         if out:
             yield batch_of(out, PARSED)
 
 
 def parsed_addresses(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
-    """One row per record and address text, with the parsed components.
+    """One row per record, address text and plausible reading, with its components.
 
     The address of records counts; where it is missing (NULL, empty or a
     placeholder) the token lists stand in. Records without any, and addresses
-    without house number or names, drop out, as they are in no pair.
+    without house number or names, which denote no building, drop out.
     """
     missing = "atok is null or trim(atok) in ('', '<null>')"
     rows = records.select("entity_id", "atok").where("entity_id is not null").distinct()
@@ -388,7 +418,7 @@ CROWD = 1000
 def same_forms(parsed: DataFrame) -> DataFrame:
     """Pairs (a, b) of different parsed forms that denote the same building.
 
-    Every key of every form counts, however many share it: the forms of a
+    An address has a form for each of its readings, and every key of every form counts, however many share it: the forms of a
     crowded key are dealt into parts on one side of the join and copied to each
     part on the other. Pairs whose direction, cross or main, kind or state
     conflict go in the join.
@@ -426,19 +456,20 @@ def same_address_pairs(records: DataFrame, record_tokens: DataFrame) -> DataFram
     links = materialize(same_forms(parsed), "links")
     # a class is all records with one atok text; records without are alone
     member = parsed.select(
-        "form", "entity_id", F.coalesce(F.concat(F.lit("t:"), "atok"), F.concat(F.lit("e:"), "entity_id")).alias("c")
-    ).distinct()
-    one = member.select("form", "c").distinct()
+        "form", "entity_id", "reading", F.coalesce(F.concat(F.lit("t:"), "atok"), F.concat(F.lit("e:"), "entity_id")).alias("c")
+    )
+    one = member.groupBy("form", "c").agg((F.min("reading") == 0).alias("likely"))
+    # second readings of both sides prove nothing
     within = (
-        one.select("form", F.col("c").alias("ca"))
-        .join(one.select("form", F.col("c").alias("cb")), "form")
-        .where("ca < cb")
+        one.select("form", F.col("c").alias("ca"), F.col("likely").alias("la"))
+        .join(one.select("form", F.col("c").alias("cb"), F.col("likely").alias("lb")), "form")
+        .where("ca < cb and (la or lb)")
         .select("ca", "cb")
     )
     across = (
-        links.join(one.select(F.col("form").alias("a"), F.col("c").alias("ca")), "a")
-        .join(one.select(F.col("form").alias("b"), F.col("c").alias("cb")), "b")
-        .where("ca != cb")
+        links.join(one.select(F.col("form").alias("a"), F.col("c").alias("ca"), F.col("likely").alias("la")), "a")
+        .join(one.select(F.col("form").alias("b"), F.col("c").alias("cb"), F.col("likely").alias("lb")), "b")
+        .where("ca != cb and (la or lb)")
         .select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
     )
     classes = within.union(across).distinct()

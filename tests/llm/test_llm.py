@@ -101,6 +101,22 @@ def test_same_building(a, b, same):
     assert addresses.same_building(addresses.parse(a), addresses.parse(b)) is same
 
 
+@pytest.mark.parametrize("text, houses", [
+    ("152 vikloge don str pletoburg 60", {("60", "152"), ("152", "60")}), ("23 suite 7 216 rue drohiboden zidibasville", {("23", "216"), ("216", "23")}),
+    ("no 416b drobebre len ave new jersey 47740", {("416b", "47740")}), ("46 hebroville 599a r nedreva mon", {("46", ""), ("599a", "46")}),
+    ("", set()), (None, set()), ("<null>", set()),
+])
+def test_ambiguous_addresses_have_several_readings(text, houses):
+    assert {(r[0], r[4]) for r in addresses.readings(text)} == houses
+
+
+def test_address_pairs_meet_by_any_reading(spark):
+    rec = spark.createDataFrame([("a", "152 vikloge don str pletoburg 60"), ("b", "152 vikloge don st oh pletoburg"), ("c", "60 vikloge don st oh pletoburg")], "entity_id string, atok string")
+    tok = spark.createDataFrame([], "entity_id string, business_address_tokens array<string>, business_address_numbers array<string>")
+    got = {tuple(r) for r in addresses.same_address_pairs(rec, tok).collect()}
+    assert ("a", "b") in got and ("b", "c") not in got
+
+
 def test_address_pairs_leave_out_equal_texts(spark):
     rec = spark.createDataFrame(
         [("a", "12 fokade st homesburg 87779"), ("b", "12 fokade st homesburg 87779"), ("c", "no 12 fokade street homesburg"), ("d", None), ("e", ""), ("a", "12 fokade st homesburg 87779")],
