@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kinsift.llm.arrow import batch_of
+from kinsift.llm.arrow import batch_of, small
 from kinsift.llm.strings import allowed, inside, plain, sound, within
 from kinsift.llm.unify_text import unify
 from kinsift.session import materialize
@@ -268,18 +268,26 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     low = 1.0
     for x, y in ((a, b), (b, a)):
         whole, turned = "".join(y), "".join(reversed(y))
-        slips = [_slips(t, whole, turned) for t in x]
-        worst = 0
-        for t, n in zip(x, slips):
-            if n > (allowed(len(t)) if len(t) < 6 else 2 if len(t) < 7 else 3) or (len(t) < 4 and len(x) == 1):
+        total, score = 0, 0.0
+        for t in x:
+            size = len(t)
+            n = _slips(t, whole, turned)
+            if n > (allowed(size) if size < 6 else 2 if size < 7 else 3) or (size < 4 and len(x) == 1):
                 return 0.0
-            worst = max(worst, n if len(t) < 14 else n - 1)
-        if sum(slips) > 4 or (worst == 3 and sum(slips) > 4):
-            return 0.0
-        low = min(low, sum(1 - n / len(t) for t, n in zip(x, slips)) / max(1, len(x)))
+            total += n
+            if total > 4:
+                return 0.0
+            score += 1 - n / size
+        low = min(low, score / max(1, len(x)))
     return low
 
 
+def _strange(text: str, other: str) -> int:
+    """Letters of a text that the other lacks; each of them costs an edit."""
+    have = set(other)
+    return len([c for c in text if c not in have])
+
+
 def first_names_agree(a: str, b: str) -> bool:
     return a == b or (len(a) == 1 and b.startswith(a)) or (len(b) == 1 and a.startswith(b) and bool(b))
 
@@ -293,11 +301,18 @@ def same_name(a: tuple, b: tuple) -> float:
     joined_a, joined_b = "".join(a[2]), "".join(b[2])
     if abs(len(joined_a) - len(joined_b)) > 5:
         return 0.0
+    strange = max(_strange(joined_a, joined_b), _strange(joined_b, joined_a))
+    # more than four slips, unless a token is cut off
+    if strange > 4:
+        either = ((a[2], f"{joined_b} {''.join(reversed(b[2]))}"), (b[2], f"{joined_a} {''.join(reversed(a[2]))}"))
+        if not any(len(t) >= 6 and t[:4] in o for x, o in either for t in x):
+            return 0.0
     got = monge_elkan(a[2], b[2])
     if not got:  # short pieces: the joined names as a whole
         size = max(len(joined_a), len(joined_b))
-        slips = within(joined_a, joined_b, 3 if size >= 12 else 2 if size >= 8 else 0)
-        got = 1 - slips / size if slips <= (3 if size >= 12 else 2 if size >= 8 else 0) else 0.0
+        most = 3 if size >= 12 else 2 if size >= 8 else 0
+        slips = within(joined_a, joined_b, most) if strange <= most else most + 1
+        got = 1 - slips / size if slips <= most else 0.0
     return got if got >= 0.7 else 0.0
 
 
@@ -332,26 +347,25 @@ def _bander(rows: int, bands: int, seed: int = 7):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         index = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            nodes, keys = [], []
-            for node, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = []
-                for g in grams(rest):
+        for batch in small(batches, 500):
+            ids, sizes = [], []
+            for rest in batch.column(1).to_pylist():
+                own = grams(rest)
+                for g in own:
                     if g not in memo:
                         memo[g] = xxhash.xxh64_intdigest(g)
                     ids.append(memo[g])
-                h = np.array(ids, np.uint64)[:, None] * mul[None, :] + add[None, :]
-                low = (h ^ (h >> np.uint64(29))).min(axis=0).reshape(bands, rows)
-                key = index.copy()
-                for r in range(rows):
-                    key = (key ^ low[:, r]) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(31)
-                keys.append(key.view(np.int64))
-                nodes.append(np.full(bands, node, np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], ["node", "key"]
-                )
+                sizes.append(len(own))
+            if not sizes:
+                continue
+            h = np.array(ids, np.uint64)[:, None] * mul[None, :] + add[None, :]
+            low = np.minimum.reduceat(h ^ (h >> np.uint64(29)), np.cumsum(sizes) - sizes, axis=0).reshape(-1, bands, rows)
+            key = np.broadcast_to(index, low.shape[:2]).copy()
+            for r in range(rows):
+                key = (key ^ low[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(31)
+            nodes = np.repeat(batch.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(key.ravel().view(np.int64))], ["node", "key"])
 
     return run
 
@@ -390,8 +404,8 @@ def parsed_names(records: DataFrame) -> DataFrame:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            got = same_name((x["first"], x["trade"], tuple(x["rest"])), (y["first"], y["trade"], tuple(y["rest"])))
+        for a, b, fa, fb, ta, tb, ra, rb in zip(*(c.to_pylist() for c in batch.columns)):
+            got = same_name((fa, ta, tuple(ra.split(" "))), (fb, tb, tuple(rb.split(" "))))
             if got > 0:
                 out.append((a, b, got))
         if out:
@@ -426,9 +440,14 @@ def name_edges(nodes: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    side = nodes.select("node", F.struct("first", "trade", "rest").alias("x"))
-    both = pairs.join(side.toDF("a", "xa"), "a").join(side.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return both.mapInArrow(_verify, EDGES)
+    # what same_name asks first is asked in the JVM
+    agree = "fa = fb or (length(fa) = 1 and startswith(fb, fa)) or (length(fb) = 1 and startswith(fa, fb))"
+    side = lambda x: nodes.select(
+        F.col("node").alias(x), F.col("first").alias(f"f{x}"), F.col("trade").alias(f"t{x}"), F.array_join("rest", " ").alias(f"r{x}"),
+        F.length(F.array_join("rest", "")).alias(f"l{x}"),
+    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("abs(la - lb) <= 5").where(agree)
+    return both.select("a", "b", "fa", "fb", "ta", "tb", "ra", "rb").mapInArrow(_verify, EDGES)
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
