@@ -7,35 +7,64 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsift.functions import similarity, text
 from kinsift.operators import augment, evidence, model, recall, sample
-from kinsift.plans import views
+from kinsift.plans import sqltext, views
 from kinsift.plans.views import ENT_SQL, LAB_SQL, TRUTH_SQL
 from kinsift.session import table
 
 
 def fold_names(spark: SparkSession, d: str) -> DataFrame:
-    return views.entities(spark, d).select("entity_id", text.fold_latin(F.col("name")).alias("folded"))
+    return views.entities(spark, d).select("entity_id", text.fold(F.col("name")).alias("folded"))
+
+
+def _normalised(spark: SparkSession, d: str) -> DataFrame:
+    """(entity_id, src, country, core, legal, addr): every entity with the token
+    lists that the rules make of its name and address; folding runs once."""
+    e = views.entities(spark, d).withColumn("fn", text.fold(F.col("name"))).withColumn("fa", text.fold(F.col("addr")))
+    e = e.withColumn("n", text.split_legal(text.name_tokens(F.col("fn"))))
+    return e.select("entity_id", "src", "country", "n.core", "n.legal", text.norm_folded_addr(F.col("fa")).alias("addr"))
 
 
 def norm_names(spark: SparkSession, d: str) -> DataFrame:
-    n = text.norm_name(F.col("name"))
-    return views.entities(spark, d).select("entity_id", F.array_join(n["core"], " ").alias("core"), F.array_join(n["legal"], " ").alias("legal"))
+    return _normalised(spark, d).select("entity_id", F.array_join("core", " ").alias("core"), F.array_join("legal", " ").alias("legal"))
 
 
 def norm_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return views.entities(spark, d).select("entity_id", F.array_join(text.norm_addr(F.col("atok")), " ").alias("addr"))
+    return _normalised(spark, d).select("entity_id", F.array_join("addr", " ").alias("addr"))
 
 
 def index_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """How many index tokens each record has by channel."""
-    e = views.entities(spark, d).select("entity_id", F.explode(text.index_tokens(text.words(F.col("core")), text.norm_addr(F.col("atok")))).alias("token"))
-    return e.groupBy("entity_id", text.channel(F.col("token")).alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+    """Every index token of every record with its channel."""
+    e = _normalised(spark, d).select("entity_id", F.explode(text.index_tokens(F.col("core"), F.col("addr"))).alias("token"))
+    return e.select("entity_id", text.channel(F.col("token")).alias("channel"), "token")
 
 
 def house_numbers(spark: SparkSession, d: str) -> DataFrame:
     a = text.words(F.col("atok"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
     return views.entities(spark, d).select(
-        "entity_id", F.array_join(text.house_numbers(a).cast("array<string>"), ",").alias("numbers"),
-        F.array_join(text.fixed_numbers(a, True).cast("array<string>"), ",").alias("fixed"))
+        "entity_id", joined(text.house_numbers(a)).alias("numbers"), joined(text.fixed_numbers(a)).alias("dated"),
+        joined(text.fixed_numbers(a, True)).alias("fixed"))
+
+
+def _native_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens in other scripts of matched names, and all tokens of their S1 names."""
+    e = _normalised(spark, d).select("entity_id", F.concat("core", "legal").alias("tokens"))
+    pairs = views.truth(spark, d).join(e.toDF("source1_entity_id", "a"), "source1_entity_id").join(e.toDF("matched_entity_id", "b"), "matched_entity_id")
+    pairs = pairs.withColumn("b", F.filter("b", lambda w: ~w.rlike(r"^[\x00-\x7f]*$")))
+    return pairs.where(F.size("b") > 0)
+
+
+def native_words(spark: SparkSession, d: str) -> DataFrame:
+    """What each word in another script is written as in Latin letters."""
+    return evidence.dice_partners(_native_pairs(spark, d), "a", "b", 2, 0.5).select("t", "l", "c", "occ", "lf")
+
+
+def native_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names with their words of other scripts replaced by what was learned."""
+    learned = native_words(spark, d).select("t", "l")
+    e = _normalised(spark, d).select("entity_id", F.posexplode("core").alias("at", "t"))
+    got = e.join(learned, "t", "left").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("l", "t").alias("w")))).alias("x"))
+    return got.select("entity_id", F.array_join("x.w", " ").alias("core"))
 
 
 def _pair_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +211,7 @@ def filter_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "fold_names": fold_names, "norm_names": norm_names, "norm_addresses": norm_addresses, "index_tokens": index_tokens,
+    "fold_names": fold_names, "native_words": native_words, "native_names": native_names, "norm_names": norm_names, "norm_addresses": norm_addresses, "index_tokens": index_tokens,
     "house_numbers": house_numbers, "set_features": set_features, "string_features": string_features,
     "ratio_features": ratio_features, "gram_features": gram_features, "number_features": number_features,
     "cluster_features": cluster_features, "word_stats": word_stats, "word_rates": word_rates, "branch_words": branch_words,
@@ -191,11 +220,16 @@ QUERIES = {
     "half_splits": half_splits, "dropped_entities": dropped_entities, "filter_scores": filter_scores,
 }
 
-_TR = f"translate(lower({{}}), '{text.ACCENTED}', '{text.PLAIN}')"
 _WORDS = "list_filter(string_split_regex({}, ' +'), lambda x: x <> '')"
-_SQUASH = r"trim(regexp_replace({}, '[^0-9a-z\x{{900}}-\x{{DFF}}\x{{4E00}}-\x{{9FFF}}]+', ' ', 'g'))"
-_MAP = lambda table: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
-_LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+_NORM = f"""{ENT_SQL}, folded AS (SELECT *, {sqltext.fold('name')} AS fn, {sqltext.fold('addr')} AS fa FROM ent),
+  tok AS (SELECT entity_id, src, country, {sqltext.name_tokens('fn')} AS nt, {sqltext.norm_addr('fa')} AS addr FROM folded), norm AS ({sqltext.split_legal('tok', 'nt')})"""
+_NATIVE = f"""{_NORM}, {TRUTH_SQL}, q AS (SELECT list_distinct(list_concat(x.core, x.legal)) AS a,
+    list_distinct(list_filter(list_concat(z.core, z.legal), lambda w: NOT regexp_full_match(w, '[\\x00-\\x7f]*'))) AS b
+    FROM truth t JOIN norm x ON x.entity_id = t.source1_entity_id JOIN norm z ON z.entity_id = t.matched_entity_id), p AS (SELECT * FROM q WHERE len(b) > 0),
+  o AS (SELECT t, count(*) AS occ FROM (SELECT unnest(b) AS t FROM p) GROUP BY t), f AS (SELECT l, count(*) AS lf FROM (SELECT unnest(a) AS l FROM p) GROUP BY l),
+  c AS (SELECT t, l, count(*) AS c FROM (SELECT t, unnest(a) AS l FROM (SELECT a, unnest(b) AS t FROM p)) GROUP BY t, l),
+  s AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(2 * c / (occ + lf), 9) DESC, l) AS n FROM c JOIN o USING (t) JOIN f USING (l)),
+  learned AS (SELECT t, l, c, occ, lf FROM s WHERE n = 1 AND c >= 2 AND c / occ >= 0.5)"""
 _PT = f"""{LAB_SQL}, {ENT_SQL}, pt AS (SELECT l.i1, l.src, l.j, l.y, l.cs_all, a.core AS ca, b.core AS cb, a.atok AS aa, b.atok AS ab,
     {_WORDS.format('a.core')} AS a, {_WORDS.format('b.core')} AS b FROM lab l JOIN ent a ON a.entity_id = l.source1_entity_id
     JOIN ent b ON b.entity_id = l.matched_entity_id)"""
@@ -212,15 +246,17 @@ _WS = """ws AS (SELECT 'ex' AS kind, unnest(list_filter(list_distinct(b), lambda
   UNION ALL SELECT 'ms', unnest(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))), y FROM pt)"""
 
 ORACLE = {
-    "fold_names": f"WITH {ENT_SQL} SELECT entity_id, {_TR.format('name')} AS folded FROM ent",
-    "norm_names": f"""WITH {ENT_SQL}, t AS (SELECT entity_id, list_transform({_WORDS.format(_SQUASH.format("regexp_replace(replace(" + _TR.format('name') + ", '&', ' and '), '[.](com|net|org)([^0-9A-Za-z_]|$)', ' ' || chr(92) || '2', 'g')"))},
-        lambda w: coalesce({_MAP(text.LEGAL_CANON)}[w], w)) AS t FROM ent),
-        s AS (SELECT entity_id, list_filter(t, lambda w: NOT list_contains({_LIST(text.LEGAL)}, w)) AS c, list_filter(t, lambda w: list_contains({_LIST(text.LEGAL)}, w)) AS l FROM t)
-      SELECT entity_id, array_to_string(CASE WHEN len(c) > 0 THEN c ELSE l END, ' ') AS core, array_to_string(l, ' ') AS legal FROM s""",
-    "norm_addresses": f"""WITH {ENT_SQL}, t AS (SELECT entity_id, {_WORDS.format(r"regexp_replace(replace(replace(replace(replace(replace(" + _TR.format('atok') + r", '<null>', ' '), '&', ' '), 'new jersey', 'newjersey'), 'tamil nadu', 'tamilnadu'), 'west bengal', 'westbengal'), '[^0-9a-z\x{900}-\x{DFF}\x{4E00}-\x{9FFF}]+', ' ', 'g')")} AS t FROM ent),
-        u AS (SELECT entity_id, list_transform(t, lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN coalesce(nullif(ltrim(w, '0'), ''), '0') ELSE w END) AS t FROM t),
-        v AS (SELECT entity_id, list_transform(list_transform(t, lambda w: coalesce({_MAP(text.STATES)}[w], w)), lambda w: coalesce({_MAP(text.ABBR)}[w], w)) AS t FROM u)
-      SELECT entity_id, array_to_string(list_filter(t, lambda w: NOT list_contains({_LIST(text.ADDR_DROP)}, w)), ' ') AS addr FROM v""",
+    "fold_names": f"WITH {ENT_SQL} SELECT entity_id, {sqltext.fold('name')} AS folded FROM ent",
+    "norm_names": f"WITH {_NORM} SELECT entity_id, array_to_string(core, ' ') AS core, array_to_string(legal, ' ') AS legal FROM norm",
+    "norm_addresses": f"WITH {_NORM} SELECT entity_id, array_to_string(addr, ' ') AS addr FROM norm",
+    "index_tokens": f"""WITH {_NORM}, x AS (SELECT entity_id, unnest({sqltext.index_tokens('core', 'addr')}) AS token FROM norm)
+      SELECT entity_id, CASE WHEN regexp_matches(token, '^(n|np|nc|nc3|g|ne):') THEN 'name' WHEN starts_with(token, 'nx:') THEN 'composite' ELSE 'address' END AS channel, token FROM x""",
+    "house_numbers": f"""WITH {ENT_SQL}, w AS (SELECT entity_id, atok, {_WORDS.format('atok')} AS w FROM ent)
+      SELECT entity_id, array_to_string({_NUM('atok')}, ',') AS numbers, array_to_string({sqltext.fixed_numbers('w', False)}, ',') AS dated,
+        array_to_string({sqltext.fixed_numbers('w', True)}, ',') AS fixed FROM w""",
+    "native_words": f"WITH {_NATIVE} SELECT t, l, c, occ, lf FROM learned",
+    "native_names": f"""WITH {_NATIVE}, x AS (SELECT entity_id, generate_subscripts(core, 1) AS k, unnest(core) AS t FROM norm)
+      SELECT entity_id, string_agg(coalesce(l, t), ' ' ORDER BY k) AS core FROM x LEFT JOIN learned USING (t) GROUP BY entity_id""",
     "set_features": f"""WITH {_PT} SELECT i1, src, j, round({_INTER} / greatest({_NB}, 1), 6) AS b_in_a, round({_INTER} / greatest({_NA}, 1), 6) AS a_in_b,
         round({_INTER} / greatest({_NA} + {_NB} - {_INTER}, 1), 6) AS jac, {_NB} - {_INTER} AS b_minus_a, {_NA} - {_INTER} AS a_minus_b, len(a) AS lta, len(b) AS ltb,
         CAST({_NB} > 0 AND {_INTER} = {_NB} AS INTEGER) AS b_sub_a, CAST({_NA} > 0 AND {_INTER} = {_NA} AS INTEGER) AS a_sub_b,

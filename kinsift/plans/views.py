@@ -12,7 +12,8 @@ CAND_SQL = f"""cand AS (SELECT i1, CAST(src AS INTEGER) AS src, j,
     {', '.join(f'coalesce(CAST(max({c}) AS DOUBLE), 0.0) AS {c}' for c in SCORES)}
   FROM candidate_scores WHERE s_all IS NOT NULL AND NOT isnan(s_all) GROUP BY i1, CAST(src AS INTEGER), j)"""
 ENT_SQL = """ent AS (SELECT entity_id, min(CAST(src AS INTEGER)) AS src, coalesce(min(lower(trim(country))), '') AS country,
-    coalesce(min(nullif(name, '<null>')), '') AS name, coalesce(min(nullif(core, '<null>')), '') AS core,
+    coalesce(min(nullif(name, '<null>')), '') AS name, coalesce(min(nullif(addr, '<null>')), '') AS addr,
+    coalesce(min(nullif(core, '<null>')), '') AS core, coalesce(min(nullif(legal, '<null>')), '') AS legal,
     coalesce(min(nullif(atok, '<null>')), '') AS atok FROM records GROUP BY entity_id)"""
 TRUTH_SQL = """truth AS (SELECT DISTINCT upper(trim(source1_entity_id)) AS source1_entity_id,
     upper(trim(matched_entity_id)) AS matched_entity_id FROM positives
@@ -41,7 +42,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     sound = lambda c: F.coalesce(F.min(F.nullif(F.col(c), F.lit("<null>"))), F.lit("")).alias(c)
     return table(spark, d, "records").groupBy("entity_id").agg(
         F.min(F.col("src").cast("int")).alias("src"),
-        F.coalesce(F.min(F.lower(F.trim("country"))), F.lit("")).alias("country"), sound("name"), sound("core"), sound("atok"),
+        F.coalesce(F.min(F.lower(F.trim("country"))), F.lit("")).alias("country"), sound("name"), sound("addr"), sound("core"), sound("legal"), sound("atok"),
     )
 
 

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -32,10 +33,42 @@ def test_name_and_address_rules(spark):
     assert got[1][0] == ["ltd"] and got[2][0] is None or got[2][0] == []
 
 
+@pytest.mark.parametrize("name, core, legal", [
+    ("Étoile & Fils S.A.", "etoile fils a", "and s"), ("www.Rimola.com", "rimola", "www"), ("The Company", "the co", ""), ("ＦＡＢ Incorporated", "fab", "inc"),
+    ("ﬁne 日本 Ltd", "fine 日本", "ltd"), ("", "", ""), (None, "", ""), ("!!", "", ""),
+])
+def test_names_of_any_kind(spark, name, core, legal):
+    df = spark.createDataFrame([(name,)], "n string")
+    r = df.select(text.norm_name(F.col("n")).alias("x")).select("x.*").first()
+    assert (" ".join(r.core), " ".join(r.legal)) == (core, legal)
+
+
+def test_french_forms_only_if_asked(spark):
+    df = spark.createDataFrame([("Etablissements Rimo SNC",)], "n string")
+    assert df.select(text.norm_name(F.col("n"))["legal"]).first()[0] == []
+    assert df.select(text.norm_name(F.col("n"), True)["legal"]).first()[0] == ["ets", "snc"]
+
+
+@pytest.mark.parametrize("addr, tokens", [
+    ("Door No 1-0/13/09, First Cross, West Bengal", "1 0 13 9 1139 1 cr wb"), ("North Carolina Street-Road 007", "nc st rd 7"), ("000", "0"), ("0-0", "0 0"),
+    ("12 Allée du 8 mai 1945", "12 all 8 mai 1945"), ("रोड 5 near the Flat", "5"), ("<NULL>", ""), (None, ""), ("a-b/c", "a b c"),
+])
+def test_addresses_of_any_kind(spark, addr, tokens):
+    df = spark.createDataFrame([(addr,)], "a string")
+    assert " ".join(df.select(text.norm_addr(F.col("a"))).first()[0]) == tokens
+
+
+def test_index_tokens_by_hand(spark):
+    df = spark.createDataFrame([(["rimola", "ab"], ["12", "st", "st"]), ([], []), (["solo"], [])], "c array<string>, a array<string>")
+    got = [sorted(r[0]) for r in df.select(text.index_tokens(F.col("c"), F.col("a"))).collect()]
+    assert got[0] == sorted(["n:rimola", "n:ab", "np:rimol", "g:rimo", "g:imol", "g:mola", "ne:rimolaab", "nc:rimolaab", "a:12", "a:st", "ab:12_st", "nx:rimola|12", "nx:rimola|st"])
+    assert got[1] == [] and got[2] == sorted(["n:solo", "ne:solo", "nc:solo", "nc3:solo"])
+
+
 def test_fixed_numbers(spark):
-    df = spark.createDataFrame([(["12", "mai", "1999", "7bis", "8a"],)], "a array<string>")
+    df = spark.createDataFrame([(["8", "mai", "1945", "7bis", "8a", "75008", "mars"],)], "a array<string>")
     r = df.select(text.house_numbers(F.col("a")), text.fixed_numbers(F.col("a")), text.fixed_numbers(F.col("a"), True)).first()
-    assert [list(x) for x in r] == [[12, 1999], [7], [7, 8]]
+    assert [list(x) for x in r] == [[8, 1945, 75008], [7, 75008], [7, 8, 75008]]
 
 
 def test_number_relation(spark):
