@@ -210,3 +210,26 @@ def test_short_words_of_letters_are_not_read_back():
     assert mojibake.read_back("ФЕ", every) is None and mojibake.read_back("café", every) is None
     assert mojibake.read_back("l’équipe", every) is None  # Armenian through mac_roman
     assert mojibake.read_back("cafÃ©", every)[0] == "café" and mojibake.read_back("donâ€™t", every)[0] == "don’t"
+
+
+@pytest.mark.parametrize("garbled, clean, how", [
+    ("fÃ¼r dâ€™Ã©", "für d’é", ("utf-8", "cp1252", 1)), ("ЁбЇ®«м§гҐ¬", "используем", ("cp866", "cp1251", 1)), ("оПХБЕР", "Привет", ("cp1251", "koi8-r", 1)),
+])
+def test_alignment_names_the_charsets(garbled, clean, how):
+    assert how in [mojibake.TRANSFORMS[k] for k in mojibake.align(garbled, clean)]
+
+
+@pytest.mark.parametrize("a, b", [("abc", "abc"), ("für", "fur"), ("für", "far"), ("äö", "ä"), ("", "")])
+def test_alignment_of_what_is_no_garbling(a, b):
+    assert not mojibake.align(a, b)
+
+
+def test_escapes_are_resolved_before_looking(spark):
+    line = "the café crème of the garçon was très bonne near a forêt"
+    cp = ("utf-8", "cp1252", 1)
+    rows = [(i, f"{i} {line}") for i in range(20)] + [(100, mojibake.garble(line, cp)), (101, mojibake.garble(f"b {line}", cp))]
+    rows += [(200, "of caf&Atilde;&copy; here"), (201, "sound caf&eacute; and %C3%A9 here"), (202, "see /x/caf%C3%83%C2%A9")]
+    rows += [(300 + i, mojibake.garble(f"{'abc'[i]} {line}", ("utf-7", "ascii", 1))) for i in range(3)] + [(400, "item +A14-C and C+AB36-")]
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restored_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == {100, 101, 200, 202, 300, 301, 302}
+    assert got[301] == f"b {line}" and got[200] == "of café here"
