@@ -70,8 +70,8 @@ _ASCII_RUN = re.compile(r"[0-9A-Za-z]+")
 _SENTENCE = re.compile(r"(?<=[.!?;:।])[ \n]+|\n")
 _MASK = str.maketrans("0123456789", "##########")
 #: Letters that 7-bit text carries in shift sequences.
-_SHIFT = re.compile(r"\+[A-Za-z0-9/]{2,}-")
-_ESCAPE = re.compile(r"&#?\w{2,8};|%[0-9A-Fa-f]{2}|\+[A-Za-z0-9/]{2,}-")
+_SHIFT = re.compile(r"\+[A-Z][A-Za-z0-9/]+-?")
+_ESCAPE = re.compile(r"&#?\w{2,8};|%[0-9A-Fa-f]{2}|\+[A-Z][A-Za-z0-9/]+")
 
 
 def unescaped(word: str) -> str:
@@ -228,6 +228,8 @@ class _Reader:
                 self.known.clear()
             plain = unescaped(w)
             shifts = _SHIFT.findall(plain)
+            if shifts and plain.endswith(shifts[-1]) and not plain.endswith("-"):
+                plain, shifts[-1] = plain + "-", shifts[-1] + "-"  # a blank ends a sequence too
             if shifts and plain.isascii():
                 parts = [p.translate(_MASK) for p in _SHIFT.split(plain)]
                 masked = "".join(x for pair in zip(parts, [*shifts, ""]) for x in pair)
