@@ -1,58 +1,90 @@
-"""Features of a candidate among the other candidates of its entity."""
+"""Features of a candidate among the other candidates of its entity.
+
+One entity may own a third of all candidates, so nothing here sorts a group in
+one task: maxima, counts, anchors and seconds are aggregates with map-side
+combining that are joined back, and ranks come from counts of distinct scores
+in ranges of the score."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def group_context(pairs: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+def group_stats(pairs: DataFrame, group: list[str], **aggregates: Column) -> DataFrame:
+    """``pairs`` with aggregates of their group next to every row. The joined
+    side has one row per group; adaptive execution splits a hot group's rows."""
+    return pairs.join(pairs.groupBy(*group).agg(*[a.alias(n) for n, a in aggregates.items()]), group)
+
+
+def range_of(score: str) -> Column:
+    """A whole number that never falls as the score rises; scores of a few per cent difference share one."""
+    x = F.col(score).cast("double")
+    return F.when(x >= 0, F.floor(F.log1p(x * 1000) * 16)).otherwise(-F.ceil(F.log1p(-x * 1000) * 16) - 1)
+
+
+def ranked(pairs: DataFrame, group: list[str], score: str, out: str) -> DataFrame:
+    """Rank of a score in its group, the highest first; ties share the lowest rank.
+
+    A rank is one more than the number of higher scores: those of higher ranges,
+    of which a group has some hundreds at most, and the higher ones of its own."""
+    tied = pairs.groupBy(*group, score).agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", range_of(score))
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = tied.groupBy(*group, "__range").agg(F.sum("__n").alias("__n")).withColumn(
+        "__before", ahead(Window.partitionBy(*group).orderBy(F.col("__range").desc()))
+    )
+    within = ahead(Window.partitionBy(*group, "__range").orderBy(F.col(score).desc()))
+    place = tied.withColumn("__within", within).join(ranges.drop("__n"), [*group, "__range"]).select(
+        *group, score, (F.col("__before") + F.col("__within") + 1).cast("int").alias(out)
+    )
+    return pairs.join(place, [*group, score])
+
+
+def group_context(pairs: DataFrame, group: list[str], columns: list[str], size: str = "n_cand") -> DataFrame:
     """Maximum, gap to it and rank (ties share the lowest) of each column, and
     the group's size."""
-    whole = Window.partitionBy(*group)
-    out = pairs.withColumn("n_cand", F.count(F.lit(1)).over(whole))
+    out = group_stats(pairs, group, **{size: F.count(F.lit(1))}, **{f"{c}_mx": F.max(c) for c in columns})
     for c in columns:
-        out = out.withColumn(f"{c}_mx", F.max(c).over(whole))
-        out = out.withColumn(f"{c}_gap", F.col(f"{c}_mx") - F.col(c))
-        out = out.withColumn(f"{c}_rk", F.rank().over(Window.partitionBy(*group).orderBy(F.col(c).desc())))
+        out = ranked(out.withColumn(f"{c}_gap", F.col(f"{c}_mx") - F.col(c)), group, c, f"{c}_rk")
     return out
 
 
+def _best(score: str, tie: list[str], columns: list[str] = ()) -> Column:
+    """The row of the highest score, the lowest ``tie`` first; further columns come along."""
+    return F.min(F.struct((-F.col(score)).alias("s"), *tie, *[F.col(c).alias(f"v_{c}") for c in columns]))
+
+
+def top_two(pairs: DataFrame, owner: str, p: str, tie: list[str]) -> DataFrame:
+    """top, second (0 if none) and is_top of a score per owner."""
+    out = group_stats(pairs, [owner], __b=_best(p, tie)).withColumn("top", -F.col("__b.s"))
+    same = reduce(lambda a, b: a & b, [F.col(t) == F.col(f"__b.{t}") for t in tie], F.col(p) == F.col("top"))
+    out = out.withColumn("is_top", same).drop("__b")
+    second = out.groupBy(owner).agg(F.coalesce(F.max(F.when(~F.col("is_top"), F.col(p))), F.lit(0.0)).alias("second"))
+    return out.join(second, owner)
+
+
 def combined(pairs: DataFrame, group: list[str], comb: Column, tie: list[str]) -> DataFrame:
     """Combined score with its gap, rank and the group's second best (0 if none)."""
-    out = pairs.withColumn("comb", comb)
-    w = Window.partitionBy(*group).orderBy(F.col("comb").desc(), *tie)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        out.withColumn("comb_gap", F.max("comb").over(Window.partitionBy(*group)) - F.col("comb"))
-        .withColumn("comb_rk", F.rank().over(Window.partitionBy(*group).orderBy(F.col("comb").desc())))
-        .withColumn("comb_2nd", F.coalesce(F.nth_value("comb", 2).over(whole), F.lit(0.0)))
-    )
+    if len(group) != 1:
+        raise ValueError("combined works on groups of one column")
+    out = top_two(pairs.withColumn("comb", comb), group[0], "comb", tie)
+    out = out.withColumn("comb_gap", F.col("top") - F.col("comb")).withColumnRenamed("second", "comb_2nd").drop("top", "is_top")
+    return ranked(out, group, "comb", "comb_rk")
 
 
-def siblings(pairs: DataFrame, owner: str, key: str, tag: str) -> DataFrame:
+def siblings(pairs: DataFrame, owner: str, key: str, tag: str, prefix: str = "") -> DataFrame:
     """Size, maximum and mean of ``comb`` over the owner's candidates with the
     same non-empty key; zeros where the key is empty."""
-    w = Window.partitionBy(owner, key)
-    empty = F.coalesce(F.col(key), F.lit("")) == ""
-    out = pairs
-    for name, value in (("n", F.count(F.lit(1)).over(w).cast("double")), ("mx", F.max("comb").over(w)), ("mean", F.avg("comb").over(w))):
-        out = out.withColumn(f"sib_{tag}_{name}", F.when(empty, F.lit(0.0)).otherwise(value))
-    return out
+    names = {f"sib_{tag}_n": F.count(F.lit(1)).cast("double"), f"sib_{tag}_{prefix}mx": F.max("comb"), f"sib_{tag}_{prefix}mean": F.avg("comb")}
+    filled = pairs.withColumn("__key", F.coalesce(F.col(key), F.lit("")))
+    out = group_stats(filled, [owner, "__key"], **names)
+    for name in names:
+        out = out.withColumn(name, F.when(F.col("__key") == "", F.lit(0.0)).otherwise(F.col(name)))
+    return out.drop("__key")
 
 
 def anchor(pairs: DataFrame, group: list[str], score: str, tie: list[str], columns: list[str]) -> DataFrame:
     """The group's best row next to every row of the group: ``an_<column>``."""
-    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), *tie)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return pairs.select("*", *[F.first(c).over(whole).alias(f"an_{c}") for c in columns])
-
-
-def top_two(pairs: DataFrame, owner: str, p: str, tie: list[str]) -> DataFrame:
-    """top, second and is_top of a score per owner."""
-    w = Window.partitionBy(owner).orderBy(F.col(p).desc(), *tie)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        pairs.withColumn("top", F.first(p).over(whole))
-        .withColumn("second", F.coalesce(F.nth_value(p, 2).over(whole), F.lit(0.0)))
-        .withColumn("is_top", F.row_number().over(w) == 1)
-    )
+    out = group_stats(pairs, group, __b=_best(score, tie, columns))
+    return out.select(*pairs.columns, *[F.col(f"__b.v_{c}").alias(f"an_{c}") for c in columns])

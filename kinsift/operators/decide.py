@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinsift.operators.context import group_stats, range_of
+
 
 def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
     """F0.5 of one entity; 1 if nothing is true and nothing predicted."""
@@ -51,29 +53,40 @@ def recall_bound_cut(pairs: DataFrame, p: str, cuts: list[float], least: float)
     return long.where(F.col("kept") >= least).orderBy(F.col("th").desc()).limit(1)
 
 
-def keep_some(pairs: DataFrame, owner: str, p: str, tie: list[str], tau: float, min_keep: int = 2) -> Column:
-    """p >= tau, or among the owner's best ``min_keep``."""
+def keep_some(pairs: DataFrame, owner: str, p: str, tie: list[str], tau: float, min_keep: int = 2) -> DataFrame:
+    """The pairs with p >= tau, and the owner's best ``min_keep`` below it. The
+    rank filter reaches the group-limit operator, before and after the shuffle."""
     w = Window.partitionBy(owner).orderBy(F.col(p).desc(), *tie)
-    return (F.col(p) >= tau) | (F.row_number().over(w) <= min_keep)
+    best = pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= min_keep).drop("__n")
+    return pairs.where(F.col(p) >= tau).unionByName(best.where(~F.coalesce(F.col(p) >= tau, F.lit(False))))
 
 
 def expected_f05(pairs: DataFrame, owner: str, p: str, tie: list[str], miss_prior: float = 0.0, min_p: float = 0.0) -> DataFrame:
     """Adds ``selected``: the smallest prefix by score that maximises expected
-    F0.5, none if the chance that nothing is true is at least as good."""
-    order = Window.partitionBy(owner).orderBy(F.col(p).desc(), *tie)
-    run, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(owner)
-    out = pairs.withColumn("m", F.row_number().over(order)).withColumn("cs", F.sum(p).over(run))
-    out = out.withColumn("ef", 1.25 * F.col("cs") / (0.25 * (F.sum(p).over(whole) + miss_prior) + F.col("m")))
-    out = out.withColumn("pe", F.exp(F.sum(F.log(1 - F.least(F.col(p), F.lit(1 - 1e-9)))).over(whole)))
-    out = out.withColumn("best", F.max("ef").over(whole))
-    out = out.withColumn("bm", F.min(F.when(F.col("ef") >= F.col("best") - 1e-12, F.col("m"))).over(whole))
-    out = out.withColumn("selected", (F.col("m") <= F.col("bm")) & (F.col("pe") < F.col("best")) & (F.col(p) >= min_p))
-    return out.drop("m", "cs", "ef", "pe", "best", "bm")
+    F0.5, none if the chance that nothing is true is at least as good.
+
+    Running sums are those of the higher score ranges, of which an owner has
+    some hundreds at most, and of the rows before in the own range."""
+    out = pairs.withColumn("__range", range_of(p))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    down = before(Window.partitionBy(owner).orderBy(F.col("__range").desc()))
+    ranges = out.groupBy(owner, "__range").agg(F.sum(p).alias("__s"), F.count(F.lit(1)).alias("__k")).select(
+        owner, "__range", F.coalesce(F.sum("__s").over(down), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__k").over(down), F.lit(0)).alias("__m0")
+    )
+    order = Window.partitionBy(owner, "__range").orderBy(F.col(p).desc(), *tie)
+    out = out.withColumn("__m", F.row_number().over(order)).withColumn("__cs", F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(ranges, [owner, "__range"]).withColumn("__m", F.col("__m") + F.col("__m0")).withColumn("__cs", F.col("__cs") + F.col("__s0"))
+    out = group_stats(out, [owner], __et=F.sum(p), __pe=F.exp(F.sum(F.log(1 - F.least(F.col(p), F.lit(1 - 1e-9))))))
+    out = out.withColumn("__ef", 1.25 * F.col("__cs") / (0.25 * (F.col("__et") + miss_prior) + F.col("__m")))
+    out = group_stats(out, [owner], __best=F.max("__ef"))
+    out = group_stats(out, [owner], __bm=F.min(F.when(F.col("__ef") >= F.col("__best") - 1e-12, F.col("__m"))))
+    out = out.withColumn("selected", (F.col("__m") <= F.col("__bm")) & (F.col("__pe") < F.col("__best")) & (F.col(p) >= min_p))
+    return out.select(*pairs.columns, "selected")
 
 
-def margin_rule(owner: str, p: str, cut: float, share: float) -> Column:
-    """p >= cut and p >= share of the owner's best."""
-    return (F.col(p) >= cut) & (F.col(p) >= share * F.max(p).over(Window.partitionBy(owner)))
+def margin_rule(pairs: DataFrame, owner: str, p: str, cut: float, share: float) -> DataFrame:
+    """The pairs with p >= cut and p >= share of the owner's best."""
+    return group_stats(pairs, [owner], __top=F.max(p)).where((F.col(p) >= cut) & (F.col(p) >= share * F.col("__top"))).drop("__top")
 
 
 def relative_cut_and_rescue(pairs: DataFrame, owner: str, p: str, cut: float, margin: float, low: float, rescue: float) -> DataFrame:
@@ -81,8 +94,9 @@ def relative_cut_and_rescue(pairs: DataFrame, owner: str, p: str, cut: float, ma
     a match gets its best back if that is at least ``low`` and leads by ``rescue``.
     Expects top, second and is_top."""
     out = pairs.withColumn("sel0", (F.col(p) >= cut) & (F.col("top") - F.col(p) <= margin))
-    none = ~F.max(F.col("sel0")).over(Window.partitionBy(owner))
-    return out.withColumn("selected", F.col("sel0") | (none & F.col("is_top") & (F.col(p) >= low) & (F.col("top") - F.col("second") >= rescue))).drop("sel0")
+    out = group_stats(out, [owner], __some=F.max("sel0"))
+    back = ~F.col("__some") & F.col("is_top") & (F.col(p) >= low) & (F.col("top") - F.col("second") >= rescue)
+    return out.withColumn("selected", F.col("sel0") | back).drop("sel0", "__some")
 
 
 def one_owner(pairs: DataFrame, record: list[str], p: str, owner: str) -> DataFrame:

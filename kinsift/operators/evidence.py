@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinsift.operators.context import group_stats
+
 
 def word_stats(pairs: DataFrame, a: str, b: str, y: str) -> DataFrame:
     """(kind, word, n, pos): words only one side has, and how often such a pair is true."""
@@ -99,15 +101,16 @@ def cluster_features(pairs: DataFrame, owner: str, key: str, rel: str, values: d
 
     ``values`` maps an output to ``min`` or ``max`` of a column ``<agg> <col>``;
     a row without key keeps its own value."""
-    w, all_ = Window.partitionBy(owner, key), Window.partitionBy(owner)
-    has = F.coalesce(F.col(key), F.lit("")) != ""
-    out = pairs.withColumn("__has", has).withColumn("cl_size", F.when(has, F.count(F.lit(1)).over(w)).otherwise(0))
+    has = F.col("__key") != ""
+    out = pairs.withColumn("__key", F.coalesce(F.col(key), F.lit("")))
+    out = group_stats(out, [owner], s1_support=F.sum((F.col(rel) == 1).cast("int")), __keyed=F.sum((F.col("__key") != "").cast("int")))
+    specs = {name: spec.split() for name, spec in values.items()}
+    inner = {f"__{name}": (F.min if how == "min" else F.max)(col) for name, (how, col) in specs.items()}
+    out = group_stats(out, [owner, "__key"], __size=F.count(F.lit(1)), **inner)
+    out = out.withColumn("cl_size", F.when(has, F.col("__size")).otherwise(0))
     out = out.withColumn("cl_agree", F.when(has, (F.col(rel) == 1).cast("int")).otherwise(-1))
-    out = out.withColumn("s1_support", F.sum((F.col(rel) == 1).cast("int")).over(all_))
-    for name, spec in values.items():
-        how, col = spec.split()
-        agg = (F.min if how == "min" else F.max)(col).over(w)
-        out = out.withColumn(name, F.when(has, agg).otherwise(F.col(col)))
-    keyed = F.sum(has.cast("int")).over(all_)
-    out = out.withColumn("cl_other_size", F.when(has, keyed - F.col("cl_size")).otherwise(keyed))
-    return out.withColumn("cl_is_alt", ((F.col(rel) >= 2) & has & (F.col("s1_support") > 0)).cast("int")).drop("__has")
+    for name, (_, col) in specs.items():
+        out = out.withColumn(name, F.when(has, F.col(f"__{name}")).otherwise(F.col(col)))
+    out = out.withColumn("cl_other_size", F.col("__keyed") - F.col("cl_size"))
+    out = out.withColumn("cl_is_alt", ((F.col(rel) >= 2) & has & (F.col("s1_support") > 0)).cast("int"))
+    return out.drop("__key", "__keyed", "__size", *inner)

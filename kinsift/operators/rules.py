@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from kinsift.operators.context import group_stats, ranked
 from kinsift.operators.decide import f05
 
 
@@ -20,8 +21,9 @@ def branch_rules(pairs: DataFrame, vocabulary: list[str], owner: str) -> DataFra
     words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     alt = F.arrays_overlap(F.array_except("b", "a"), words) & (F.col("rel") >= 2)
     out = pairs.withColumn("__alt", F.coalesce(alt, F.lit(False)))
-    near = F.max(F.col("__alt")).over(Window.partitionBy(owner, "bkey")) & (F.col("bkey") != "")
-    out = out.withColumn("r1", F.col("__alt") | ((F.col("rel") >= 2) & F.coalesce(near, F.lit(False))))
+    out = group_stats(out.withColumn("__key", F.coalesce("bkey", F.lit(""))), [owner, "__key"], __some=F.max("__alt"))
+    near = F.col("__some") & (F.col("__key") != "")
+    out = out.withColumn("r1", F.col("__alt") | ((F.col("rel") >= 2) & near)).drop("__some", "__key")
     same = (F.array_join("a", "") == F.array_join("b", "")) & (F.array_join("a", "") != "")
     shared = F.size(F.array_intersect("aa", "ab")) / F.greatest(F.size(F.array_distinct("ab")), F.lit(1))
     out = out.withColumn("r2", ~F.col("r1") & same & (F.col("rel") == 1) & (shared >= 0.7))
@@ -48,7 +50,7 @@ def rank_of_true(pairs: DataFrame, group: list[str], scores: list[str], y: str =
     higher scores in its group."""
     out = pairs
     for s in scores:
-        out = out.withColumn(f"rank_{s}", F.rank().over(Window.partitionBy(*group).orderBy(F.col(s).desc())))
+        out = ranked(out, group, s, f"rank_{s}")
     return out.where(F.col(y) == 1)
 
 

@@ -50,8 +50,7 @@ def recall_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_keep(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    return p.withColumn("keep", decide.keep_some(p, "i1", "p", _tie(), 0.5, 2)).where("keep").select("i1", "src", "j")
+    return decide.keep_some(_pairs(spark, d), "i1", "p", list(_TIE), 0.5, 2).select("i1", "src", "j")
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +58,11 @@ def expected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def margin(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    return p.withColumn("s", decide.margin_rule("i1", "p", 0.3, 0.8)).where("s").select("i1", "src", "j")
+    return decide.margin_rule(_pairs(spark, d), "i1", "p", 0.3, 0.8).select("i1", "src", "j")
 
 
 def rescue(spark: SparkSession, d: str) -> DataFrame:
-    p = context.top_two(_pairs(spark, d), "i1", "p", _tie())
+    p = context.top_two(_pairs(spark, d), "i1", "p", list(_TIE))
     return decide.relative_cut_and_rescue(p, "i1", "p", 0.6, 0.1, 0.4, 0.2).where("selected").select("i1", "src", "j")
 
 
@@ -138,17 +136,16 @@ def mean_models(spark: SparkSession, d: str) -> DataFrame:
 
 def alt_profile(spark: SparkSession, d: str) -> DataFrame:
     """Strong candidates per entity beside its best one, clipped at 4."""
-    c = context.top_two(views.candidates(spark, d), "i1", "cs_all", _tie())
+    c = context.top_two(views.candidates(spark, d), "i1", "cs_all", list(_TIE))
     return c.groupBy("i1").agg(F.least(F.sum(((F.col("cs_all") >= 0.3) & ~F.col("is_top")).cast("int")), F.lit(4)).alias("alts"))
 
 
 def anchor_profile(spark: SparkSession, d: str) -> DataFrame:
     """Other strong candidates of the same source: the group's sum less the row's own."""
-    from pyspark.sql import Window
-
     c = views.candidates(spark, d).withColumn("strong", ((F.col("s_addr") > 0) & (F.col("cs_name") >= 0.3)).cast("int"))
-    w = Window.partitionBy("i1", "src")
-    return c.select("i1", "src", "j", (F.sum("strong").over(w) - F.col("strong")).alias("anc_same"), (F.sum("strong").over(Window.partitionBy("i1")) - F.sum("strong").over(w)).alias("anc_other"))
+    c = context.group_stats(c, ["i1", "src"], same=F.sum("strong"))
+    c = context.group_stats(c, ["i1"], every=F.sum("strong"))
+    return c.select("i1", "src", "j", (F.col("same") - F.col("strong")).alias("anc_same"), (F.col("every") - F.col("same")).alias("anc_other"))
 
 
 def set_difference(spark: SparkSession, d: str) -> DataFrame:

@@ -58,8 +58,7 @@ class LinkagePipeline:
 
     def score(self, candidates: DataFrame) -> DataFrame:
         scored = self.filter_model.score(candidates)
-        keep = decide.keep_some(scored, "s1_id", "p", [F.col("src"), F.col("rec_id")], self.tau, self.min_keep)
-        return materialize(scored.withColumn("__k", keep).where("__k").drop("__k"), "scored")
+        return materialize(decide.keep_some(scored, "s1_id", "p", ["src", "rec_id"], self.tau, self.min_keep), "scored")
 
     def decide(self, scored: DataFrame, one_owner: bool = True) -> DataFrame:
         known: Column = F.col("country").isin(self.seen)

@@ -78,7 +78,7 @@ def compete(spark: SparkSession, d: str) -> DataFrame:
 def pair_context(spark: SparkSession, d: str) -> DataFrame:
     c = context.group_context(views.candidates(spark, d), ["i1"], ["s_all", "cs_name"])
     comb = F.round(F.col("cs_name") + F.col("cs_addr") + F.col("s_all") / (F.col("s_all_mx") + 1e-6), 6)
-    c = context.combined(c, ["i1"], comb, [F.col("src"), F.col("j")])
+    c = context.combined(c, ["i1"], comb, ["src", "j"])
     return c.select("i1", "src", "j", "n_cand", "s_all_mx", "s_all_gap", "s_all_rk", "cs_name_rk", F.round("comb", 6).alias("comb"),
                     F.round("comb_gap", 6).alias("comb_gap"), "comb_rk", F.round("comb_2nd", 6).alias("comb_2nd"))
 
@@ -91,12 +91,12 @@ def sibling_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_context(spark: SparkSession, d: str) -> DataFrame:
-    c = context.anchor(views.candidates(spark, d), ["i1"], "s_all", [F.col("src"), F.col("j")], ["src", "j", "cs_name"])
+    c = context.anchor(views.candidates(spark, d), ["i1"], "s_all", ["src", "j"], ["src", "j", "cs_name"])
     return c.select("i1", "src", "j", "an_src", "an_j", (F.col("cs_name") == F.col("an_cs_name")).cast("int").alias("an_eq"))
 
 
 def top_second(spark: SparkSession, d: str) -> DataFrame:
-    c = context.top_two(views.candidates(spark, d), "i1", "cs_all", [F.col("src"), F.col("j")])
+    c = context.top_two(views.candidates(spark, d), "i1", "cs_all", ["src", "j"])
     return c.select("i1", "src", "j", F.round("top", 6).alias("top"), F.round("second", 6).alias("second"), F.col("is_top").cast("int").alias("is_top"))
 
 
