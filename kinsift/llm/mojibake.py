@@ -390,7 +390,9 @@ def learn(documents: DataFrame, min_votes: int = 2, min_chars: int = 2, ratio: i
     pairs = told.join(first, ["kind", "key"]).where("variant != twin").select(
         "kind", "key", "variant", "twin", (F.col("n_twin") >= ratio * F.col("n")).alias("rare")
     )
-    voted = materialize(pairs.repartition(F.xxhash64("twin", "key")).mapInArrow(_vote, VOTES), "votes")
+    # a fixed number of parts: few bytes, but much work for each
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    voted = materialize(pairs.repartition(parts, F.xxhash64("twin", "key")).mapInArrow(_vote, VOTES), "votes")
     sound = voted.where(~F.col("variant").contains(LOST)).select("variant", "twin", "how").distinct()
     every = {r["k"]: r["count"] for r in sound.select(F.explode("how").alias("k")).groupBy("k").count().collect()}
     led = sound.select(_leading(every).alias("k"), F.explode_outer(_distinct_chars(F.col("variant"), F.col("twin"))).alias("c"), "variant", "twin")
