@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinsift.operators.context import group_stats, range_of
+from kinsift.session import materialize
 
 
 def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
@@ -76,6 +77,7 @@ def expected_f05(pairs: DataFrame, owner: str, p: str, tie: list[str], miss_prio
     order = Window.partitionBy(owner, "__range").orderBy(F.col(p).desc(), *tie)
     out = out.withColumn("__m", F.row_number().over(order)).withColumn("__cs", F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.join(ranges, [owner, "__range"]).withColumn("__m", F.col("__m") + F.col("__m0")).withColumn("__cs", F.col("__cs") + F.col("__s0"))
+    out = materialize(out, "prefix")
     out = group_stats(out, [owner], __et=F.sum(p), __pe=F.exp(F.sum(F.log(1 - F.least(F.col(p), F.lit(1 - 1e-9))))))
     out = out.withColumn("__ef", 1.25 * F.col("__cs") / (0.25 * (F.col("__et") + miss_prior) + F.col("__m")))
     out = group_stats(out, [owner], __best=F.max("__ef"))

@@ -72,13 +72,13 @@ def grams(text: Column, n: int, pad: bool = False) -> Column:
 
 
 def gram_similarity(a: Column, b: Column) -> dict[str, Column]:
-    """Jaccard, cosine and containment of two gram sets."""
+    """Jaccard, cosine and the share of the first set that the second has."""
     inter, na, nb = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
     empty = (na == 0) | (nb == 0)
     safe = lambda x: F.when(empty, 0.0).otherwise(x)
     return {
         "jac": safe(inter / F.greatest(na + nb - inter, F.lit(1))), "cos": safe(inter / F.sqrt(F.greatest(na * nb, F.lit(1)))),
-        "con": safe(inter / F.greatest(F.least(na, nb), F.lit(1))),
+        "in_a": safe(inter / F.greatest(na, F.lit(1))),
     }
 
 
@@ -102,11 +102,11 @@ def cluster_features(pairs: DataFrame, owner: str, key: str, rel: str, values: d
     ``values`` maps an output to ``min`` or ``max`` of a column ``<agg> <col>``;
     a row without key keeps its own value."""
     has = F.col("__key") != ""
-    out = pairs.withColumn("__key", F.coalesce(F.col(key), F.lit("")))
-    out = group_stats(out, [owner], s1_support=F.sum((F.col(rel) == 1).cast("int")), __keyed=F.sum((F.col("__key") != "").cast("int")))
+    base = pairs.withColumn("__key", F.coalesce(F.col(key), F.lit("")))
+    out = group_stats(base, [owner], s1_support=F.sum((F.col(rel) == 1).cast("int")), __keyed=F.sum((F.col("__key") != "").cast("int")))
     specs = {name: spec.split() for name, spec in values.items()}
     inner = {f"__{name}": (F.min if how == "min" else F.max)(col) for name, (how, col) in specs.items()}
-    out = group_stats(out, [owner, "__key"], __size=F.count(F.lit(1)), **inner)
+    out = group_stats(out, [owner, "__key"], source=base, __size=F.count(F.lit(1)), **inner)
     out = out.withColumn("cl_size", F.when(has, F.col("__size")).otherwise(0))
     out = out.withColumn("cl_agree", F.when(has, (F.col(rel) == 1).cast("int")).otherwise(-1))
     for name, (_, col) in specs.items():

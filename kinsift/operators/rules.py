@@ -50,7 +50,7 @@ def rank_of_true(pairs: DataFrame, group: list[str], scores: list[str], y: str =
     higher scores in its group."""
     out = pairs
     for s in scores:
-        out = ranked(out, group, s, f"rank_{s}")
+        out = ranked(out, group, s, f"rank_{s}", source=pairs)
     return out.where(F.col(y) == 1)
 
 

@@ -143,8 +143,9 @@ def alt_profile(spark: SparkSession, d: str) -> DataFrame:
 def anchor_profile(spark: SparkSession, d: str) -> DataFrame:
     """Other strong candidates of the same source: the group's sum less the row's own."""
     c = views.candidates(spark, d).withColumn("strong", ((F.col("s_addr") > 0) & (F.col("cs_name") >= 0.3)).cast("int"))
-    c = context.group_stats(c, ["i1", "src"], same=F.sum("strong"))
-    c = context.group_stats(c, ["i1"], every=F.sum("strong"))
+    base = c
+    c = context.group_stats(base, ["i1", "src"], same=F.sum("strong"))
+    c = context.group_stats(c, ["i1"], source=base, every=F.sum("strong"))
     return c.select("i1", "src", "j", (F.col("same") - F.col("strong")).alias("anc_same"), (F.col("every") - F.col("same")).alias("anc_other"))
 
 

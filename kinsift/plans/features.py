@@ -102,16 +102,6 @@ def ratio_features(spark: SparkSession, d: str) -> DataFrame:
                     similarity.partial_ratio("ca", "cb").alias("pr"), ad(similarity.token_set_ratio).alias("a_tsr"), ad(similarity.token_sort_ratio).alias("a_tsort"))
 
 
-def gram_features(spark: SparkSession, d: str) -> DataFrame:
-    p = _pair_texts(spark, d)
-    a, b = F.replace("ca", F.lit(" "), F.lit("")), F.replace("cb", F.lit(" "), F.lit(""))
-    out = []
-    for n in (3, 4):
-        got = evidence.gram_similarity(evidence.grams(a, n), evidence.grams(b, n))
-        out += [F.round(c, 6).alias(f"g{n}_{k}") for k, c in got.items()]
-    return p.select("i1", "src", "j", *out)
-
-
 def number_features(spark: SparkSession, d: str) -> DataFrame:
     p = _pair_texts(spark, d).withColumn("na", text.house_numbers(text.words(F.col("aa")))).withColumn("nb", text.house_numbers(text.words(F.col("ab"))))
     rel, dist = evidence.number_relation(F.col("na"), F.col("nb"))
@@ -213,7 +203,7 @@ def filter_scores(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "fold_names": fold_names, "native_words": native_words, "native_names": native_names, "norm_names": norm_names, "norm_addresses": norm_addresses, "index_tokens": index_tokens,
     "house_numbers": house_numbers, "set_features": set_features, "string_features": string_features,
-    "ratio_features": ratio_features, "gram_features": gram_features, "number_features": number_features,
+    "ratio_features": ratio_features, "number_features": number_features,
     "cluster_features": cluster_features, "word_stats": word_stats, "word_rates": word_rates, "branch_words": branch_words,
     "dice_partners": dice_partners, "name_counts": name_counts, "join_sizes": join_sizes, "token_block": token_block,
     "block_recall": block_recall, "block_union": block_union, "missed_pairs": missed_pairs, "synthetic": synthetic,
@@ -235,7 +225,6 @@ _PT = f"""{LAB_SQL}, {ENT_SQL}, pt AS (SELECT l.i1, l.src, l.j, l.y, l.cs_all, a
     JOIN ent b ON b.entity_id = l.matched_entity_id)"""
 _INTER = "len(list_intersect(list_distinct(a), list_distinct(b)))"
 _NA, _NB = "len(list_distinct(a))", "len(list_distinct(b))"
-_G = lambda t, n: f"CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) < {n} THEN [{t}] ELSE list_distinct(list_transform(range(1, length({t}) - {n} + 2), lambda k: substring({t}, k, {n}))) END"
 _NUM = lambda c: f"list_transform(list_filter(string_split_regex({c}, ' +'), lambda x: regexp_full_match(x, '[0-9]{{1,9}}')), lambda x: CAST(x AS BIGINT))"
 _LT = """lt AS (SELECT DISTINCT entity_id, lower(trim(token, ' ')) AS token FROM (SELECT entity_id, unnest(business_name_tokens) AS token FROM record_tokens)
     WHERE length(trim(token, ' ')) >= 2), s1 AS (SELECT entity_id AS source1_entity_id, token FROM lt WHERE entity_id LIKE 'S1-%'),
@@ -261,10 +250,6 @@ ORACLE = {
         round({_INTER} / greatest({_NA} + {_NB} - {_INTER}, 1), 6) AS jac, {_NB} - {_INTER} AS b_minus_a, {_NA} - {_INTER} AS a_minus_b, len(a) AS lta, len(b) AS ltb,
         CAST({_NB} > 0 AND {_INTER} = {_NB} AS INTEGER) AS b_sub_a, CAST({_NA} > 0 AND {_INTER} = {_NA} AS INTEGER) AS a_sub_b,
         CAST(a[1:1] = b[1:1] AS INTEGER) AS first_eq, CAST(a[-1:] = b[-1:] AS INTEGER) AS last_eq FROM pt""",
-    "gram_features": f"""WITH {_PT}, c AS (SELECT *, replace(ca, ' ', '') AS x, replace(cb, ' ', '') AS z FROM pt),
-        g AS (SELECT *, {_G('x', 3)} AS a3, {_G('z', 3)} AS b3, {_G('x', 4)} AS a4, {_G('z', 4)} AS b4 FROM c)
-      SELECT i1, src, j, {', '.join(f'''CASE WHEN len(a{n}) = 0 OR len(b{n}) = 0 THEN 0.0 ELSE round(len(list_intersect(a{n}, b{n})) / {den.format(n=n)}, 6) END AS g{n}_{k}'''
-        for n in (3, 4) for k, den in (('jac', '(len(a{n}) + len(b{n}) - len(list_intersect(a{n}, b{n})))'), ('cos', 'sqrt(len(a{n}) * len(b{n}))'), ('con', 'least(len(a{n}), len(b{n}))')))} FROM g""",
     "number_features": f"""WITH {_PT}, n AS (SELECT i1, src, j, {_NUM('aa')} AS x, {_NUM('ab')} AS z FROM pt),
         e AS (SELECT i1, src, j, list_transform(x, lambda p: list_transform(z, lambda q: [CAST(p = q AS BIGINT), CAST(levenshtein(p::VARCHAR, q::VARCHAR) <= 1 AS BIGINT),
           CAST(starts_with(p::VARCHAR, q::VARCHAR) OR starts_with(q::VARCHAR, p::VARCHAR) OR ends_with(p::VARCHAR, q::VARCHAR) OR ends_with(q::VARCHAR, p::VARCHAR) AS BIGINT), abs(p - q)])) AS m, len(x) AS lx, len(z) AS lz FROM n),

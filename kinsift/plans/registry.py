@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsift.operators import skew
-from kinsift.plans import decisions, features, retrieval, rules
+from kinsift.plans import decisions, features, pairs, retrieval, rules
 from kinsift.session import table
 
 
@@ -26,7 +26,7 @@ _PAIRS = rf"""
         lower(regexp_replace(token, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS token FROM token_postings)
     WHERE length(token) >= 2 AND candidate_entity_id IS NOT NULL AND candidate_source IS NOT NULL"""
 
-QUERIES = {"p3_found": p3_found, "p3_token_counts": p3_token_counts} | retrieval.QUERIES | decisions.QUERIES | features.QUERIES | rules.QUERIES
+QUERIES = {"p3_found": p3_found, "p3_token_counts": p3_token_counts} | retrieval.QUERIES | decisions.QUERIES | features.QUERIES | rules.QUERIES | pairs.QUERIES
 
 ORACLE = {
     "p3_found": f"""
@@ -37,7 +37,7 @@ ORACLE = {
         WHERE n >= 0.015 * total""",
     "p3_token_counts": f"""
         SELECT candidate_source, token, count(*) AS n_candidates FROM ({_PAIRS}) GROUP BY ALL""",
-} | retrieval.ORACLE | decisions.ORACLE | features.ORACLE | rules.ORACLE
+} | retrieval.ORACLE | decisions.ORACLE | features.ORACLE | rules.ORACLE | pairs.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
