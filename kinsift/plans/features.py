@@ -9,7 +9,7 @@ from kinsift.functions import similarity, text
 from kinsift.operators import augment, evidence, model, recall, sample
 from kinsift.plans import sqltext, views
 from kinsift.plans.views import ENT_SQL, LAB_SQL, TRUTH_SQL
-from kinsift.session import table
+from kinsift.session import small_rows, table
 
 
 def fold_names(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +157,16 @@ def join_sizes(spark: SparkSession, d: str) -> DataFrame:
     return recall.join_size(f(s1), f(other))
 
 
+#: Most joined rows that shared-token blocking may make.
+BUDGET = 20_000_000
+
+
 def token_block(spark: SparkSession, d: str) -> DataFrame:
-    return recall.shared_token_block(*_lists(spark, d), 50)
+    """Pairs that share a token, under the most permissive tier that fits the budget."""
+    tier = recall.pick_tier(join_sizes(spark, d), BUDGET)
+    if tier is None:
+        raise ValueError("no tier of shared tokens fits the budget")
+    return recall.shared_token_block(*_lists(spark, d), tier)
 
 
 def block_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +187,8 @@ def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, d: str) -> DataFrame:
     e = views.entities(spark, d).where("src = 1").select("entity_id", "name", F.col("atok").alias("addr"), "country")
-    return augment.duplicates(e, ["north", "annex", "express"])
+    learned = evidence.branch_words(_token_pairs(spark, d), "a", "b", "y", 2, 0.5).select("word").orderBy("word")
+    return augment.duplicates(e, [r["word"] for r in small_rows(learned, 10_000, "branch words")])
 
 
 def half_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +239,10 @@ _LT = """lt AS (SELECT DISTINCT entity_id, lower(trim(token, ' ')) AS token FROM
     WHERE length(trim(token, ' ')) >= 2), s1 AS (SELECT entity_id AS source1_entity_id, token FROM lt WHERE entity_id LIKE 'S1-%'),
   ot AS (SELECT entity_id AS candidate_entity_id, token FROM lt WHERE entity_id NOT LIKE 'S1-%'),
   d1 AS (SELECT token, count(*) AS d1 FROM s1 GROUP BY token), d2 AS (SELECT token, count(*) AS d2 FROM ot GROUP BY token),
-  blk AS (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM s1 JOIN ot USING (token) JOIN d1 USING (token) JOIN d2 USING (token) WHERE d1 <= 50 AND d2 <= 50)"""
+  size AS (SELECT c, most, coalesce(sum(d1 * d2) FILTER (WHERE greatest(d1, d2) <= c), 0) AS n FROM d1 JOIN d2 USING (token),
+    (VALUES (50, 2000000), (200, 20000000), (1000, 200000000), (5000, 2000000000)) v(c, most) GROUP BY c, most),
+  tier AS (SELECT max(c) AS t FROM size WHERE n <= least(most, 20000000)),
+  blk AS (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM s1 JOIN ot USING (token) JOIN d1 USING (token) JOIN d2 USING (token), tier WHERE d1 <= t AND d2 <= t)"""
 _WS = """ws AS (SELECT 'ex' AS kind, unnest(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))) AS word, y FROM pt
   UNION ALL SELECT 'ms', unnest(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))), y FROM pt)"""
 

@@ -81,7 +81,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     counts all candidates, labelled or not."""
     every = _with_competition(_ranks(views.candidates(spark, d))).select(*IDENT, "r_t", "r_n", "r_a", *pairs.COMPETITION)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
-    base = materialize(_base(spark, d).join(every, IDENT).repartition(parts, *IDENT), "pairs")
+    base = materialize(_base(spark, d).join(every, IDENT).repartition(parts, F.xxhash64(*IDENT)), "pairs")
     out = materialize(pairs.gram_features(pairs.pair_features(base)), "similar")
     out = pairs.word_evidence(pairs.name_statistics(out, views.entities(spark, d).select("src", "core")), IDENT, *_learned(base))
     out = materialize(pairs.cluster_evidence(materialize(out, "words"), "i1"), "clusters")
@@ -106,7 +106,7 @@ def cheap_features(spark: SparkSession, d: str) -> DataFrame:
     """The candidate filter's features for all labelled candidates."""
     every = _with_competition(views.candidates(spark, d)).select(*IDENT, *pairs.COMPETITION)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.cheap_features(_base(spark, d).join(every, IDENT).repartition(parts, *IDENT), "i1").select(*IDENT, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in pairs.CHEAP])
+    return pairs.cheap_features(_base(spark, d).join(every, IDENT).repartition(parts, F.xxhash64(*IDENT)), "i1").select(*IDENT, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in pairs.CHEAP])
 
 
 def matcher_scores(spark: SparkSession, d: str, rounds: int = 20) -> DataFrame:

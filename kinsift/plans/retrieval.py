@@ -8,7 +8,8 @@ from kinsift.functions import text
 from kinsift.operators import blocking, competition, context
 from kinsift.plans import views
 from kinsift.plans.views import CAND_SQL, ENT_SQL
-from kinsift.session import table
+from kinsift.plans import sqltext
+from kinsift.session import materialize, table
 
 
 def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +67,27 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
         c, {"t": (F.col("s_all"), 15), "n": (F.col("s_name"), 12), "a": (F.col("s_addr"), 12), "x": (F.col("s_x"), 10), "c": (norm, 6)}, ["i1", "src"], ["j"])
 
 
+def _typed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(entity_id, src, country, kind, token): distinct index tokens of every record."""
+    from kinsift.plans.features import _normalised
+
+    e = _normalised(spark, d).select("entity_id", "src", "country", F.explode(text.index_tokens(F.col("core"), F.col("addr"))).alias("token"))
+    kind = text.channel(F.col("token"))
+    return e.withColumn("kind", F.when(kind == "composite", "x").when(kind == "address", "addr").otherwise("name"))
+
+
+def retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of all seven channels, from the tokens themselves; composite keys of more than 200 records are left out."""
+    tok = materialize(_typed_tokens(spark, d), "tokens")
+    pool = tok.where("src > 1")
+    sizes = pool.groupBy("country").agg(F.countDistinct("entity_id").alias("n"))
+    sizes = sizes.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in blocking.PARTS], "kind string")))
+    w = blocking.token_weights(pool, sizes, ["country", "kind"], tighter=F.when(F.col("kind") == "x", 200).cast("bigint"))
+    left = tok.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "kind", "token")
+    right = pool.select(F.col("entity_id").alias("rec_id"), "src", "country", "kind", "token")
+    return blocking.retrieve(left, right, w, ["country"])
+
+
 def topk_ties(spark: SparkSession, d: str) -> DataFrame:
     return blocking.top_k(views.candidates(spark, d).where("s_addr > 0"), ["i1", "src"], "s_addr", [F.col("j")], 5, ties=True).select("i1", "src", "j", "s_addr", "r")
 
@@ -107,10 +129,36 @@ def _ranked(col: str, ch: str, k: int) -> str:
 
 QUERIES = {
     "scan_pruned": scan_pruned, "token_df": token_df, "token_idf": token_idf, "self_weights": self_weights,
-    "block_name": block_name, "channel_ranks": channels, "topk_ties": topk_ties, "competition": compete,
+    "block_name": block_name, "retrieval": retrieval, "channel_ranks": channels, "topk_ties": topk_ties, "competition": compete,
     "pair_context": pair_context, "sibling_context": sibling_context, "anchor_context": anchor_context, "top_second": top_second,
 }
 
+_CHANNELS = {"t": ("s_all", 15), "n": ("s_name", 12), "a": ("s_addr", 12), "x": ("s_x", 10), "c": ("c", 6), "y": ("y", 6), "e": ("e", 5)}
+
+
+def _retrieval_sql() -> str:
+    sums = lambda p: ", ".join(f"sum(CASE WHEN kind = '{k}' THEN w ELSE 0.0 END) AS {p}_{k}" for k in ("name", "addr", "x"))
+    ranks = " UNION ALL ".join(f"""SELECT s1_id, src, rec_id, '{c}' AS ch, r FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY {col} DESC, rec_id) - 1 AS r
+      FROM sc WHERE {col} > 0) WHERE r < {k}""" for c, (col, k) in _CHANNELS.items())
+    return f"""WITH {ENT_SQL}, folded AS (SELECT *, {sqltext.fold('name')} AS fn, {sqltext.fold('addr')} AS fa FROM ent),
+      nt AS (SELECT entity_id, src, country, {sqltext.name_tokens('fn')} AS nt, {sqltext.norm_addr('fa')} AS addr FROM folded), norm AS ({sqltext.split_legal('nt', 'nt')}),
+      tok AS (SELECT entity_id, src, country, token, CASE WHEN starts_with(token, 'nx:') THEN 'x' WHEN regexp_matches(token, '^(n|np|nc|nc3|g|ne):') THEN 'name' ELSE 'addr' END AS kind
+        FROM (SELECT entity_id, src, country, unnest({sqltext.index_tokens('core', 'addr')}) AS token FROM norm)),
+      n AS (SELECT country, count(DISTINCT entity_id) AS n FROM tok WHERE src > 1 GROUP BY country),
+      df AS (SELECT country, kind, token, count(*) AS df FROM tok WHERE src > 1 GROUP BY ALL),
+      w AS (SELECT country, kind, token, ln((n + 1) / (df + 1)) AS w FROM df JOIN n USING (country) WHERE df <= greatest(30, floor(n * 0.003)) AND (kind <> 'x' OR df <= 200)),
+      p AS (SELECT a.entity_id AS s1_id, b.src, b.entity_id AS rec_id, {sums('s')} FROM tok a JOIN w USING (country, kind, token) JOIN tok b USING (country, kind, token)
+        WHERE a.src = 1 AND b.src > 1 GROUP BY ALL),
+      own AS (SELECT entity_id, {sums('o')} FROM tok JOIN w USING (country, kind, token) GROUP BY entity_id),
+      sc AS (SELECT s1_id, p.src, rec_id, round(s_name + s_addr, 6) AS s_all, round(s_name, 6) AS s_name, round(s_addr, 6) AS s_addr, round(s_x, 6) AS s_x,
+        round(s_name / sqrt(a.o_name * b.o_name + 1e-6), 6) AS cs_name, round(s_addr / sqrt(a.o_addr * b.o_addr + 1e-6), 6) AS cs_addr,
+        round((s_name + s_addr) / sqrt((a.o_name + a.o_addr) * (b.o_name + b.o_addr) + 1e-6), 6) AS cs_all,
+        round(s_name / sqrt(b.o_name + 1), 6) AS c, round(s_x / sqrt(b.o_x + 1), 6) AS y, CASE WHEN b.o_addr = 0 THEN round(s_name, 6) ELSE 0.0 END AS e
+        FROM p JOIN own a ON a.entity_id = s1_id JOIN own b ON b.entity_id = rec_id),
+      u AS ({ranks}), f AS (SELECT s1_id, src, rec_id, {', '.join(f"coalesce(min(CASE WHEN ch = '{c}' THEN r END), 99) AS r_{c}" for c in _CHANNELS)} FROM u GROUP BY s1_id, src, rec_id)
+    SELECT f.*, s_all, s_name, s_addr, s_x, cs_name, cs_addr, cs_all FROM f JOIN sc USING (s1_id, src, rec_id)"""
+
+
 _COMP = ", ".join(
     f"""coalesce(CASE WHEN rn_{c} = 1 THEN lead({v}) OVER w_{c} ELSE first_value({v}) OVER w_{c} END, 0.0) AS comp_{c}_other,
     {v} - coalesce(CASE WHEN rn_{c} = 1 THEN lead({v}) OVER w_{c} ELSE first_value({v}) OVER w_{c} END, 0.0) AS comp_{c}_gap, rn_{c} AS comp_{c}_rk"""
@@ -125,6 +173,7 @@ ORACLE = {
         SELECT a.entity_id AS s1_id, b.src, b.entity_id AS rec_id, round(sum(w), 6) AS score
         FROM tok a JOIN w USING (country, token) JOIN tok b USING (country, token) WHERE a.src = 1 AND b.src > 1 GROUP BY ALL)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY score DESC, rec_id) - 1 AS rank FROM p) WHERE rank < 12""",
+    "retrieval": _retrieval_sql(),
     "channel_ranks": f"""WITH {CAND_SQL}, u AS ({_ranked('s_all', 't', 15)} UNION ALL {_ranked('s_name', 'n', 12)} UNION ALL {_ranked('s_addr', 'a', 12)}
         UNION ALL {_ranked('s_x', 'x', 10)} UNION ALL {_ranked('round(s_name / sqrt(s_all + 1), 6)', 'c', 6)})
       SELECT i1, src, j, {', '.join(f"coalesce(min(CASE WHEN ch = '{c}' THEN r END), 99) AS r_{c}" for c in 'tnaxc')} FROM u GROUP BY i1, src, j""",
