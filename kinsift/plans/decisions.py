@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsift.operators import context, decide, report, sample
-from kinsift.plans import views
+from kinsift.plans import sqltext, views
 from kinsift.plans.views import CAND_SQL, LAB_SQL, TRUTH_SQL
 from kinsift.session import table
 
@@ -245,6 +245,7 @@ ORACLE = {
       SELECT i1, src, j, (sum(st) OVER w - st)::BIGINT AS anc_same, (sum(st) OVER (PARTITION BY i1) - sum(st) OVER w)::BIGINT AS anc_other FROM a WINDOW w AS (PARTITION BY i1, src)""",
     "set_difference": f"WITH {TRUTH_SQL} SELECT source1_entity_id FROM split_assign EXCEPT SELECT source1_entity_id FROM truth",
     "set_intersection": f"WITH {TRUTH_SQL} SELECT source1_entity_id FROM split_assign INTERSECT SELECT source1_entity_id FROM truth",
+    "validation_split": f"""SELECT entity_id FROM (SELECT DISTINCT entity_id, 'split' || entity_id AS t FROM records WHERE src = 1) WHERE {sqltext.crc32("t")} % 5 = 0""",
     "strata": f"""WITH {CAND_SQL}, m AS (SELECT i1, max(cs_all) AS m FROM cand GROUP BY i1),
         s AS (SELECT i1, CASE WHEN m >= 0.9 THEN 'sure' WHEN m >= 0.4 THEN 'likely' ELSE 'open' END AS stratum FROM m)
       SELECT i1, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY i1) AS n FROM s)

@@ -192,8 +192,9 @@ def synthetic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def half_splits(spark: SparkSession, d: str) -> DataFrame:
+    """200 halvings of source 1 within countries."""
     e = views.entities(spark, d).where("src = 1")
-    return sample.half_splits(e, "entity_id", "country", 4).groupBy("seed", "half").agg(F.count(F.lit(1)).alias("n"))
+    return sample.half_splits(e, "entity_id", "country", 200)
 
 
 def dropped_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -269,6 +270,18 @@ ORACLE = {
         r AS (SELECT i1, src, j, CASE WHEN lx = 0 OR lz = 0 THEN 0 WHEN list_max(list_transform(m, lambda t: t[1])) = 1 THEN 1 WHEN list_max(list_transform(m, lambda t: t[2])) = 1 THEN 2
           WHEN list_max(list_transform(m, lambda t: t[3])) = 1 THEN 3 ELSE 4 END AS rel, list_min(list_transform(m, lambda t: t[4])) AS g FROM f)
       SELECT i1, src, j, rel, CASE WHEN rel = 0 THEN -1.0 WHEN rel = 1 THEN 0.0 ELSE round(ln(1 + g), 6) END AS dist FROM r""",
+    "cluster_features": f"""WITH {_PT}, n AS (SELECT i1, src, j, {_NUM('aa')} AS x, {_NUM('ab')} AS z, len(list_filter(list_distinct(b), lambda w: NOT list_contains(a, w))) AS ex FROM pt),
+        m AS (SELECT *, flatten(list_transform(x, lambda p: list_transform(z, lambda q: [CAST(p = q AS BIGINT), CAST(levenshtein(p::VARCHAR, q::VARCHAR) <= 1 AS BIGINT),
+          CAST(starts_with(p::VARCHAR, q::VARCHAR) OR starts_with(q::VARCHAR, p::VARCHAR) OR ends_with(p::VARCHAR, q::VARCHAR) OR ends_with(q::VARCHAR, p::VARCHAR) AS BIGINT)]))) AS m FROM n),
+        r AS (SELECT i1, src, j, ex, array_to_string(list_sort(list_distinct(z)), ',') AS k, CASE WHEN len(x) = 0 OR len(z) = 0 THEN 0 WHEN list_max(list_transform(m, lambda t: t[1])) = 1 THEN 1
+          WHEN list_max(list_transform(m, lambda t: t[2])) = 1 THEN 2 WHEN list_max(list_transform(m, lambda t: t[3])) = 1 THEN 3 ELSE 4 END AS rel FROM m),
+        g AS (SELECT *, count(*) OVER c AS n, max(ex) OVER c AS mx, sum(CASE WHEN rel = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY i1) AS s1, sum(CASE WHEN k <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY i1) AS keyed
+          FROM r WINDOW c AS (PARTITION BY i1, k))
+      SELECT i1, src, j, CASE WHEN k <> '' THEN n ELSE 0 END AS cl_size, CASE WHEN k <> '' THEN CAST(rel = 1 AS INTEGER) ELSE -1 END AS cl_agree, s1::BIGINT AS s1_support,
+        CASE WHEN k <> '' THEN mx ELSE ex END AS cl_ex_n, (keyed - CASE WHEN k <> '' THEN n ELSE 0 END)::BIGINT AS cl_other_size, CAST(rel >= 2 AND k <> '' AND s1 > 0 AS INTEGER) AS cl_is_alt FROM g""",
+    "half_splits": f"""WITH {ENT_SQL}, h AS (SELECT seed, entity_id, country, {sqltext.crc32("t")} AS h FROM (SELECT *, entity_id || '|' || seed AS t FROM ent, range(200) r(seed) WHERE src = 1))
+      SELECT CAST(seed AS INTEGER) AS seed, entity_id, CAST(row_number() OVER (PARTITION BY seed, country ORDER BY h, entity_id) % 2 AS INTEGER) AS half FROM h""",
+    "dropped_entities": f"""WITH {ENT_SQL} SELECT entity_id FROM (SELECT entity_id, entity_id || '|3' AS t FROM ent WHERE src = 1) WHERE {sqltext.crc32("t")} % 1000000 >= 200000""",
     "word_stats": f"WITH {_PT}, {_WS} SELECT kind, word, count(*) AS n, sum(y)::BIGINT AS pos FROM ws GROUP BY kind, word",
     "word_rates": f"WITH {_PT}, {_WS} SELECT kind, word, round((sum(y) + 20.0 * (SELECT avg(y) FROM pt)) / (count(*) + 20.0), 6) AS rate FROM ws GROUP BY kind, word",
     "branch_words": f"""WITH {_PT}, e AS (SELECT list_filter(list_distinct(b), lambda x: NOT list_contains(a, x)) AS ex, list_filter(a, lambda x: NOT list_contains(b, x)) AS ms, y FROM pt)

@@ -101,3 +101,19 @@ def fixed_numbers(c: str, glued: bool) -> str:
     return f"""list_transform(list_filter({c}, lambda x, i: NOT (regexp_full_match(x, '[0-9]{{1,2}}(er)?') AND {near('i + 1')})
         AND NOT (regexp_full_match(x, '1[5-9][0-9]{{2}}|20[0-9]{{2}}') AND {near('i - 1')}) AND regexp_full_match(x, '[0-9]{{1,9}}{tail}')),
       lambda x: CAST(regexp_extract(x, '^[0-9]+') AS BIGINT))"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        out.append(n)
+    return out
+
+
+def crc32(c: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte."""
+    table = "[" + ", ".join(f"{x}::BIGINT" for x in _crc_table()) + "]"
+    data = f"list_transform(range(1, length({c}) + 1), lambda k: ascii(substring({c}, k, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda h, b: xor(h >> 8, {table}[(xor(h, b) & 255) + 1])), 4294967295::BIGINT)"
