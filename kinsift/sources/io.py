@@ -13,12 +13,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 RAW_COLUMNS = ("entity_id", "business_name", "business_address", "country")
 
 
-def required_path(path: str) -> str:
+def _folder(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop sees them: local disks, HDFS and object stores alike."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def required_path(spark: SparkSession, path: str) -> str:
     """``path`` if it exists and holds something, else an error at once."""
-    size = os.path.getsize(path) if os.path.isfile(path) else sum(
-        os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs
-    )
-    if size == 0:
+    at, fs = _folder(spark, path)
+    if not fs.exists(at) or fs.getContentSummary(at).getLength() == 0:
         raise FileNotFoundError(f"missing or empty input: {path}")
     return path
 
@@ -58,16 +62,31 @@ def first_column(df: DataFrame, options: Iterable[str], name: str) -> DataFrame:
     return df.withColumn(name, F.col(found).cast("string") if found else F.lit(None).cast("string"))
 
 
-def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a stage once; if its marker is there, it is read instead."""
+def describe(df: DataFrame) -> DataFrame:
+    """(column_name, column_type, nullable) of a frame, in order."""
+    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
+    return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, nullable boolean")
+
+
+def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, version: str = "") -> DataFrame:
+    """Write a stage once; if the marker of this ``version`` of its input is
+    there, it is read instead."""
     spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    mark, fs = _folder(spark, f"{path}/_DONE-{version or 'any'}")
+    if not fs.exists(mark):
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        fs.create(mark, True).close()
     return spark.read.parquet(path)
 
 
+def write_beside(original: DataFrame, added: DataFrame, path: str) -> DataFrame:
+    """Original rows and synthetic ones in one new place; the input stays as it is."""
+    out = original.unionByName(added.select(*original.columns))
+    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return original.sparkSession.read.parquet(path)
+
+
 def write_hashed(df: DataFrame, path: str, key: list[str], buckets: int) -> None:
     """Hash-partitioned sink: one folder per bucket, equal keys together."""
     b = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
@@ -75,11 +94,22 @@ def write_hashed(df: DataFrame, path: str, key: list[str], buckets: int) -> None
      .option("compression", "zstd").partitionBy("bucket").parquet(path))
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Result sink; refuses to write an empty result."""
-    if df.isEmpty():
-        raise ValueError("refusing to write an empty result")
+def write_tsv(df: DataFrame, path: str, owners: DataFrame | None = None, key: str | None = None) -> None:
+    """Result sink; refuses an empty result and, with ``owners``, one that has
+    not exactly one row for each of them. The plan runs once: what was written
+    is looked at, and taken away if it is refused."""
+    spark = df.sparkSession
     df.write.mode("overwrite").option("quote", "").option("emptyValue", "").csv(path, sep="\t", header=True)
+    back = spark.read.csv(path, sep="\t", header=True, quote="")
+    fault = "refusing to write an empty result" if back.isEmpty() else ""
+    if not fault and owners is not None:
+        n = owners.select(key).distinct().count()
+        if back.count() != n or back.join(owners.select(key).distinct(), key, "left_semi").select(key).distinct().count() != n:
+            fault = "the result has not one row for each owner"
+    if fault:
+        at, fs = _folder(spark, path)
+        fs.delete(at, True)
+        raise ValueError(fault)
 
 
 def write_json(path: str, content: dict) -> None:
