@@ -98,7 +98,8 @@ def compete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_context(spark: SparkSession, d: str) -> DataFrame:
-    c = context.group_context(views.candidates(spark, d), ["i1"], ["s_all", "cs_name"])
+    c = materialize(views.candidates(spark, d).select("i1", "src", "j", "s_all", "cs_name", "cs_addr"), "candidates")
+    c = materialize(context.group_context(c, ["i1"], ["s_all", "cs_name"]), "context")
     comb = F.round(F.col("cs_name") + F.col("cs_addr") + F.col("s_all") / (F.col("s_all_mx") + 1e-6), 6)
     c = context.combined(c, ["i1"], comb, ["src", "j"])
     return c.select("i1", "src", "j", "n_cand", "s_all_mx", "s_all_gap", "s_all_rk", "cs_name_rk", F.round("comb", 6).alias("comb"),
