@@ -445,16 +445,12 @@ def same_forms(parsed: DataFrame) -> DataFrame:
     return both.mapInArrow(_judge, "a bigint, b bigint")
 
 
-def same_address_pairs(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
-    """(entity_id_a, entity_id_b), a < b, of records at the same building.
-
-    Pairs with equal ``atok`` are left out; a NULL ``atok`` equals nothing. An
-    entity with several addresses pairs by any of them; repeated rows change
-    nothing; empty tables give no pairs; further columns are not read.
-    """
+def linked_classes(records: DataFrame, record_tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members(c, entity_id), pairs(ca, cb)): a class is all records with one
+    ``atok`` text, or one record without; pairs of classes at the same building
+    stand for all pairs of their records."""
     parsed = materialize(parsed_addresses(records, record_tokens), "parsed")
     links = materialize(same_forms(parsed), "links")
-    # a class is all records with one atok text; records without are alone
     member = parsed.select(
         "form", "entity_id", "reading", F.coalesce(F.concat(F.lit("t:"), "atok"), F.concat(F.lit("e:"), "entity_id")).alias("c")
     )
@@ -472,8 +468,17 @@ def same_address_pairs(records: DataFrame, record_tokens: DataFrame) -> DataFram
         .where("ca != cb and (la or lb)")
         .select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
     )
-    classes = within.union(across).distinct()
-    of = member.select("c", "entity_id").distinct()
+    return member.select("c", "entity_id").distinct(), within.union(across).distinct()
+
+
+def same_address_pairs(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
+    """(entity_id_a, entity_id_b), a < b, of records at the same building.
+
+    Pairs with equal ``atok`` are left out; a NULL ``atok`` equals nothing. An
+    entity with several addresses pairs by any of them; repeated rows change
+    nothing; empty tables give no pairs; further columns are not read.
+    """
+    of, classes = linked_classes(records, record_tokens)
     return (
         classes.join(of.toDF("ca", "x"), "ca")
         .join(of.toDF("cb", "y"), "cb")
@@ -481,3 +486,16 @@ def same_address_pairs(records: DataFrame, record_tokens: DataFrame) -> DataFram
         .select(F.least("x", "y").alias("entity_id_a"), F.greatest("x", "y").alias("entity_id_b"))
         .distinct()
     )
+
+
+def address_links(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
+    """(entity_id, class, n_links): one row per record and address text with the
+    number of records of other texts at the same building; no pair of records
+    is made. The class is a hash of the text; the rest as in
+    :func:`same_address_pairs`."""
+    of, classes = linked_classes(records, record_tokens)
+    of = materialize(of, "members")
+    size = of.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    ends = classes.select(F.col("ca").alias("c"), F.col("cb").alias("o")).union(classes.select(F.col("cb").alias("c"), F.col("ca").alias("o")))
+    n = ends.join(size.withColumnRenamed("c", "o"), "o").groupBy("c").agg(F.sum("n").alias("n_links"))
+    return of.join(n, "c", "left").select("entity_id", F.xxhash64("c").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -549,3 +549,15 @@ def name_pairs(records: DataFrame) -> DataFrame:
         .select(F.least("x", "y").alias("entity_id_a"), F.greatest("x", "y").alias("entity_id_b"))
         .distinct()
     )
+
+
+def name_links(records: DataFrame) -> DataFrame:
+    """(entity_id, core, cluster, n_links): one row per record and name with the
+    organisation it names and the number of records that name it otherwise; no
+    pair of records is made. Missing names are absent, as in :func:`name_pairs`."""
+    clusters = materialize(named_clusters(records).distinct(), "clusters")
+    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    alike = clusters.groupBy("cluster", "core").agg(F.count(F.lit(1)).alias("k"))
+    return clusters.join(whole, "cluster").join(alike, ["cluster", "core"]).select(
+        "entity_id", "core", "cluster", (F.col("n") - F.col("k")).alias("n_links")
+    )

@@ -56,6 +56,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address_pairs(table(spark, d, "records"), table(spark, d, "record_tokens"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its address class and the number of its links."""
+    return addresses.address_links(table(spark, d, "records"), table(spark, d, "record_tokens"))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its organisation and the number of its links."""
+    return names.name_links(table(spark, d, "records", "entity_id", "core", "legal"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that name the same organisation in other words."""
     return names.name_pairs(table(spark, d, "records", "entity_id", "core", "legal"))
@@ -122,7 +132,9 @@ QUERIES = {
     "p4_assignment": p4_assignment,
     "p4_balance": p4_balance,
     "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_found": p6_found,
+    "p6_links": p6_links,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p8_packed": p8_packed,

@@ -177,7 +177,7 @@ def assign_splits(
     *,
     shard_components: int = 4000,
     seeds: int = 4,
-    steps_per_component: int = 12,
+    steps_per_component: int = 40,
 ) -> DataFrame:
     """(member, component, split) that keeps every component whole.
 

@@ -233,3 +233,16 @@ def test_escapes_are_resolved_before_looking(spark):
     got = {r["doc_id"]: r["restored"] for r in mojibake.restored_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert set(got) == {100, 101, 200, 202, 300, 301, 302}
     assert got[301] == f"b {line}" and got[200] == "of café here"
+
+
+def test_links_count_the_pairs(spark):
+    rows = [("a", "12 fokade st homesburg 87779", "rimola dental"), ("b", "12 fokade st homesburg 87779", "rimola dental"), ("c", "no 12 fokade street homesburg", "rimoola dental"),
+            ("d", "12 fokade st", None), ("e", None, "other dental"), ("a", "12 fokade st homesburg 87779", "rimola dental")]
+    rec = spark.createDataFrame(rows, "entity_id string, atok string, core string").withColumn("legal", F.lit(None).cast("string"))
+    tok = spark.createDataFrame([], "entity_id string, business_address_tokens array<string>, business_address_numbers array<string>")
+    for links, pairs in ((addresses.address_links(rec, tok), addresses.same_address_pairs(rec, tok)), (names.name_links(rec), names.name_pairs(rec))):
+        want: dict = {}
+        for x, y in map(tuple, pairs.collect()):
+            want[x], want[y] = want.get(x, 0) + 1, want.get(y, 0) + 1
+        assert want and {r["entity_id"]: r["n_links"] for r in links.collect() if r["n_links"]} == want
+    assert addresses.address_links(rec.limit(0), tok).count() == 0 and names.name_links(rec.limit(0)).count() == 0
