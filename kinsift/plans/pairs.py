@@ -47,7 +47,8 @@ def address_features(spark: SparkSession, d: str) -> DataFrame:
 
 def gram_features(spark: SparkSession, d: str) -> DataFrame:
     """Character 3- and 4-grams of names, padded 3-grams of addresses."""
-    return pairs.gram_features(_base(spark, d)).select(*IDENT, *[F.round(c, 6).alias(c) for c in pairs.GRAMS])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.gram_features(_base(spark, d).repartition(parts, F.xxhash64(*IDENT))).select(*IDENT, *[F.round(c, 6).alias(c) for c in pairs.GRAMS])
 
 
 def name_statistics(spark: SparkSession, d: str) -> DataFrame:
