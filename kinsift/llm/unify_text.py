@@ -27,7 +27,17 @@ LATIN_TWINS = {
     "η": "n", "ω": "w", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "զ": "q", "ց": "g", "յ": "j", "ա": "w",
+    "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲭ": "X", "Ⲧ": "T", "Ⲙ": "M", "Ⲕ": "K",
+    "Ⲏ": "H", "Ⲃ": "B", "Ⲓ": "I", "Ⲛ": "N",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K",
+    "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W",
+    "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
+#: Scripts whose letters pass for Latin ones.
+TWIN_SCRIPTS = {"cyrillic", "greek", "armenian", "coptic", "cherokee", "lisu"}
 # Latin letters that look like another Latin letter.
 LATIN_VARIANTS = {"ɑ": "a", "ɡ": "g"}
 # Invisible characters outside the format category.
@@ -90,6 +100,12 @@ def _script(ch: str) -> str:
         return "greek"
     if "Ա" <= ch <= "և":
         return "armenian"
+    if "Ⲁ" <= ch <= "⳿":
+        return "coptic"
+    if "Ꭰ" <= ch <= "ᏽ" or "ꭰ" <= ch <= "ꮿ":
+        return "cherokee"
+    if "ꓐ" <= ch <= "꓿":
+        return "lisu"
     return "other"
 
 
@@ -129,7 +145,7 @@ def _words(text: str) -> str:
                 own.add(script)
     latin = any("latin" in s for s in scripts)
     for i, (w, s) in enumerate(zip(words, scripts)):
-        foreign = s & {"cyrillic", "greek", "armenian"}
+        foreign = s & TWIN_SCRIPTS
         if foreign and "latin" in s:
             strange = [c for c in w if c.isalpha() and _script(c) in foreign]
             if all(c in LATIN_TWINS for c in strange):

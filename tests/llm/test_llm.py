@@ -31,13 +31,14 @@ def test_top_n_against_brute_force(spark):
 @pytest.mark.parametrize("bad, good", [
     ("ｋｅｄａ road", "keda road"), ("café", "café"), ("a​b c", "ab c"), ("dіstrіbutors", "distributors"),
     ("7555o2", "755502"), ("34l44", "34144"), ("ⅿɑⅰոe", "maine"), ("ﬁn", "fin"), ("со plov", "co plov"),
+    ("rⲟad", "road"), ("Ꭺlpha", "Alpha"), ("ꓮve", "Ave"), ("Օhio", "Ohio"),
 ])
 def test_unify(bad, good):
     assert unify_text.unify(bad) == good
     assert unify_text.unify(good) == good
 
 
-@pytest.mark.parametrize("sound", ["", None, "café", "железария", "क्‍षेम", "straße 12b", "5th cross", "ª º ½ m²", "weiß\tgrün"])
+@pytest.mark.parametrize("sound", ["ᏣᎳᎩ road", "ⲁⲛⲟⲕ street", "ꓡꓲ-ꓢꓴ", "Հայաստան ave", "", None, "café", "железария", "क्‍षेम", "straße 12b", "5th cross", "ª º ½ m²", "weiß\tgrün"])
 def test_sound_text_stays(sound):
     assert unify_text.unify(sound) == sound
 
