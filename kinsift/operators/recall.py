@@ -64,6 +64,19 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def against_target(got: DataFrame, target: float) -> DataFrame:
+    """A recall row with its target and whether it is met."""
+    return got.withColumn("target", F.lit(float(target))).withColumn("target_met", (F.col("recall") >= target).cast("int"))
+
+
+def require_target(got: DataFrame, target: float) -> float:
+    """The recall, or an error that ends the run if it misses the target."""
+    value = got.first()["recall"]
+    if value < target:
+        raise ValueError(f"recall {value:.4f} is below the target {target}")
+    return value
+
+
 def missed(truth: DataFrame, found: DataFrame) -> DataFrame:
     keys = ["source1_entity_id", "matched_entity_id"]
     return truth.join(found.select(F.col("source1_entity_id"), F.col("candidate_entity_id").alias("matched_entity_id")), keys, "left_anti")

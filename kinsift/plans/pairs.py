@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsift.functions import text
-from kinsift.operators import augment, blocking, competition, context, decide, evidence, model, pairs, report, rules
-from kinsift.plans import views
+from kinsift.operators import augment, blocking, competition, context, decide, evidence, model, pairs, recall, report, rules, sample
+from kinsift.plans import sqltext, views
 from kinsift.plans.decisions import _F05
 from kinsift.plans.views import CAND_SQL, ENT_SQL, LAB_SQL
-from kinsift.session import materialize
+from kinsift.session import materialize, table
 
 IDENT = ["i1", "src", "j"]
 TIE = ["src", "j"]
@@ -220,7 +220,24 @@ def lossless_labels(spark: SparkSession, d: str) -> DataFrame:
     return context.joined_whole(lab, extra, IDENT)
 
 
+def recall_target(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the stored candidates against the target of the blocking."""
+    found = views.labelled(spark, d).select("source1_entity_id", F.col("matched_entity_id").alias("candidate_entity_id"))
+    got = recall.against_target(recall.recall(views.truth(spark, d), found), 0.92)
+    return got.select("n_true", "n_found", F.round("recall", 6).alias("recall"), "target", "target_met")
+
+
+def dropout_competition(spark: SparkSession, d: str) -> DataFrame:
+    """Competition among the entities that are left when a fifth of source 1 is dropped."""
+    left = sample.drop_entities(views.entities(spark, d).where("src = 1"), "entity_id", 0.2, 3).select("entity_id")
+    rows = table(spark, d, "records", "entity_id", "src", "row_no").where("src = 1").join(left, "entity_id", "left_semi")
+    kept = views.candidates(spark, d).join(rows.select(F.col("row_no").alias("i1")).distinct(), "i1", "left_semi")
+    got = competition.competition(kept, ["src", "j"], "i1", {"all": "s_all"})
+    return got.select(*IDENT, "comp_n_suitors", "comp_all_other", "comp_all_rk")
+
+
 QUERIES = {
+    "recall_target": recall_target, "dropout_competition": dropout_competition,
     "legal_features": legal_features, "address_features": address_features, "gram_features": gram_features,
     "name_statistics": name_statistics, "word_evidence": word_evidence, "pair_features": pair_features,
     "context_after_filter": context_after_filter, "cheap_features": cheap_features, "matcher_scores": matcher_scores,
@@ -251,6 +268,12 @@ def _kept(tau: float, keep: int) -> str:
 
 
 ORACLE = {
+    "recall_target": f"""WITH {LAB_SQL}, h AS (SELECT count(*) AS n FROM (SELECT DISTINCT t.* FROM truth t SEMI JOIN lab l ON l.source1_entity_id = t.source1_entity_id AND l.matched_entity_id = t.matched_entity_id))
+      SELECT m AS n_true, n AS n_found, round(n / m, 6) AS recall, CAST(0.92 AS DOUBLE) AS target, CAST(n / m >= 0.92 AS INTEGER) AS target_met FROM h, (SELECT count(*) AS m FROM truth)""",
+    "dropout_competition": f"""WITH {CAND_SQL}, {ENT_SQL}, e AS (SELECT entity_id FROM (SELECT entity_id, entity_id || '|3' AS t FROM ent WHERE src = 1) WHERE {sqltext.crc32('t')} % 1000000 >= 200000),
+        k AS (SELECT * FROM cand WHERE i1 IN (SELECT row_no FROM records WHERE src = 1 AND entity_id IN (SELECT entity_id FROM e))),
+        n AS (SELECT *, count(*) OVER (PARTITION BY src, j) AS comp_n_suitors, row_number() OVER w AS rn, lead(s_all) OVER w AS nxt, first_value(s_all) OVER w AS top FROM k WINDOW w AS (PARTITION BY src, j ORDER BY s_all DESC, i1))
+      SELECT i1, src, j, comp_n_suitors, coalesce(CASE WHEN rn = 1 THEN nxt ELSE top END, 0.0) AS comp_all_other, rn AS comp_all_rk FROM n""",
     "legal_features": f"""WITH {_PX} SELECT i1, src, j, CAST(len(a) >= 2 AND {_INITIALS('a')} = array_to_string(b, '') AS DOUBLE) AS acr_a,
         CAST(len(b) >= 2 AND {_INITIALS('b')} = array_to_string(a, '') AS DOUBLE) AS acr_b, CAST(len(la) > 0 AND list_sort(la) = list_sort(lb) AS DOUBLE) AS legal_eq,
         CAST(len(lb) = 0 AS DOUBLE) AS b_nolegal, CAST(len(list_intersect(la, lb)) > 0 AS DOUBLE) AS legal_ov FROM px""",

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kinsift.functions import similarity
-from kinsift.operators import blocking, context, pairs, sample
+from kinsift.operators import blocking, context, pairs, recall, sample
 
 NAMES = ["rimola fokade", "fokade rimola ltd", "", "rf", "क्षेम rimola", "rimola", "zotora bovoki motors", "rimola rimola x"]
 ADDRESSES = ["12 fokade st oh", "", "fokade street 12 oh", "7 b rd", "12 12 st", "oh"]
@@ -136,3 +136,12 @@ def test_halves_and_samples(spark):
     assert not sample.disjoint(one, two, "i") and sample.disjoint(one, ids.join(one, "i", "left_anti"), "i")
     kept = ids.where(sample.keep_entities(F.col("i"), 3)).count()
     assert 120 < kept < 240
+
+
+def test_a_missed_target_ends_the_run(spark):
+    truth = spark.createDataFrame([("a", "x"), ("b", "y")], "source1_entity_id string, matched_entity_id string")
+    found = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "z")], "source1_entity_id string, candidate_entity_id string")
+    got = recall.recall(truth, found)
+    assert recall.require_target(got, 0.5) == 0.5 and recall.against_target(got, 0.92).first()["target_met"] == 0
+    with pytest.raises(ValueError):
+        recall.require_target(got, 0.92)
