@@ -353,7 +353,9 @@ def parsed_addresses(records: DataFrame, record_tokens: DataFrame) -> DataFrame:
     )
     none = F.lit(None).cast("array<string>")
     given = rows.where(f"not ({missing})").select("entity_id", "atok", none.alias("words"), none.alias("numbers"))
-    return given.union(stand_in).mapInArrow(_parse_rows, PARSED)
+    # a fixed number of parts: few bytes, but much work for each
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return given.union(stand_in).repartition(parts, F.xxhash64("entity_id", "atok")).mapInArrow(_parse_rows, PARSED)
 
 
 def _keys(house: str, post: str, cut: bool, segs: list[str]) -> set[int]:
