@@ -1,5 +1,7 @@
 import random
+import time
 import unicodedata
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +138,23 @@ def test_name_pairs(spark):
     assert got == {("a", "b"), ("a", "e"), ("b", "e")}
 
 
+def test_name_edges_in_slices_lose_no_pair_and_leave_no_keys(spark, tmp_path):
+    words = ["rimola", "rimolo", "fokade", "fokada", "bovoki", "zotora"]
+    rows = [(k, f, t, [words[k % 6], words[k // 6 % 6]][: 1 + k % 2], "", 1) for k, (f, t) in enumerate((f, t) for f in ("", "ann", "bo", "a") for t in ("", "dental", "motors") for _ in range(12))]
+    nodes = spark.createDataFrame(rows, "node bigint, first string, trade string, rest array<string>, form string, weight bigint")
+    parsed = {r[0]: (r[1], r[2], tuple(r[3])) for r in rows}
+    began = time.time() - 1
+    few, one = names.name_edges(nodes, 40, 5000), names.name_edges(nodes, 1000, 10**7)
+    folders = {Path(f.removeprefix("file:")).parent for f in [*few.inputFiles(), *one.inputFiles()]}
+    left = {f.name.split("-")[0] for f in next(iter(folders)).parent.iterdir() if f.stat().st_mtime > began}
+    assert not left & {"bands", "met", "pairs"} and len(folders) > 3
+    few, one = ({(r.a, r.b) for r in df.collect()} for df in (few, one))
+    assert few == one
+    # names of one reading are in every band together
+    want = {(x, y) for x in parsed for y in parsed if x < y and parsed[x][2] == parsed[y][2] and parsed[x][0][:1] == parsed[y][0][:1] and names.same_name(parsed[x], parsed[y])}
+    assert want and want <= one
+
+
 def test_collision_curve():
     rows, bands = 3, names.bands_for(0.5, 0.9, 3)
     assert 1 - (1 - 0.5**rows) ** bands >= 0.9 > 1 - (1 - 0.5**rows) ** (bands - 1)
