@@ -1,3 +1,6 @@
+import random
+import time
+
 import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -20,6 +23,41 @@ def test_lcs_against_table(a, b):
     assert similarity.lcs(a, b) == row[-1][-1]
 
 
+def _texts(n=1500):
+    rnd = random.Random(12)
+    words = ["rimola", "rimolo", "ltd", "a", "12", "क्षेम", "fokade", "b b", "rimola rimola", "\U0001f600x"]
+    text = lambda: rnd.choice([" ".join(rnd.choice(words) for _ in range(rnd.randrange(5))), "".join(rnd.choice("abc ") for _ in range(rnd.randrange(12)))])
+    many = "".join(chr(0x4E00 + k) for k in range(300))
+    rows = [(text(), text()) for _ in range(n)] + [("a" * 300 + "bc" * 20, "b" * 70 + "ac" * 110), (many, many[::-1]), ("", ""), ("", "a"), ("a", "")]
+    return [list(x) for x in zip(*rows)]
+
+
+def test_measures_of_many_pairs_equal_those_of_one():
+    a, b = _texts()
+    for many, one in ((similarity.lcs_many, similarity.lcs), (similarity.ratio_many, similarity.ratio_text), (similarity.token_sort_many, similarity.token_sort_text),
+                      (similarity.token_set_many, similarity.token_set_text), (similarity.partial_many, similarity.partial_text), (similarity.jaro_winkler_many, similarity.jaro_winkler_text)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in zip(a, b)], one
+        assert len(many([], [])) == 0
+
+
+def test_measures_of_many_pairs_take_a_fraction_of_the_time():
+    rnd = random.Random(3)
+    a, b = (["".join(rnd.choice("abcdefghij ") for _ in range(28)) for _ in range(8000)] for _ in range(2))
+    for many, one in ((similarity.ratio_many, similarity.ratio_text), (similarity.partial_many, similarity.partial_text), (similarity.jaro_winkler_many, similarity.jaro_winkler_text)):
+        t = time.thread_time()
+        many(a, b)
+        took = time.thread_time() - t
+        t = time.thread_time()
+        for x, y in zip(a[:800], b[:800]):
+            one(x, y)
+        assert took < 0.7 * 10 * (time.thread_time() - t), one
+
+
+def test_nulls_have_no_similarity(spark):
+    df = spark.createDataFrame([("ab", "ab"), (None, "a"), ("a", None), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(similarity.indel_ratio("a", "b")).collect()] == [1.0, None, None, 1.0]
+
+
 def test_jaro_winkler_against_duckdb():
     con = duckdb.connect()
     for a, b in [("abcdef", "abxxxx"), ("martha", "marhta"), ("dixon", "dicksonx"), ("a", "b"), ("same", "same"), ("", "x")]:
