@@ -6,7 +6,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kinsift.functions import similarity
-from kinsift.operators import blocking, context, pairs, recall, sample
+from kinsift.operators import blocking, context, decide, pairs, recall, sample
+from kinsift.plans import pairs as plan
+
+DATA = "/root/testdata/sf0.001"
 
 NAMES = ["rimola fokade", "fokade rimola ltd", "", "rf", "क्षेम rimola", "rimola", "zotora bovoki motors", "rimola rimola x"]
 ADDRESSES = ["12 fokade st oh", "", "fokade street 12 oh", "7 b rd", "12 12 st", "oh"]
@@ -145,3 +148,35 @@ def test_a_missed_target_ends_the_run(spark):
     assert recall.require_target(got, 0.5) == 0.5 and recall.against_target(got, 0.92).first()["target_met"] == 0
     with pytest.raises(ValueError):
         recall.require_target(got, 0.92)
+
+
+def _compared(monkeypatch, spark, name):
+    """Rows of a query and the number of pairs whose texts it compares."""
+    seen, measure = [], pairs.pair_features
+    monkeypatch.setattr(pairs, "pair_features", lambda df: seen.append(df.count()) or measure(df))
+    return plan.QUERIES[name](spark, DATA).collect(), sum(seen)
+
+
+def test_texts_are_compared_for_what_a_filter_leaves(spark, monkeypatch):
+    rows, compared = _compared(monkeypatch, spark, "context_after_filter")
+    lab = plan._labelled(spark, DATA)
+    kept = decide.keep_some(lab, "i1", "cs_all", ["src", "j"], 0.3, 2)
+    assert {(r.i1, r.src, r.j) for r in rows} == {tuple(r) for r in kept.select("i1", "src", "j").collect()}
+    assert compared == len(rows) < lab.count()
+    whole = pairs.pair_features(plan._with_texts(spark, DATA, kept)).collect()
+    for r in rows:
+        assert r.n_cand == sum(x.i1 == r.i1 for x in whole) and r.jw_mx == round(max(x.jw for x in whole if x.i1 == r.i1), 6)
+
+
+def test_texts_are_compared_where_numbers_let_a_pair_be_a_sibling(spark, monkeypatch):
+    base = plan._base(spark, DATA)
+    number = lambda t: [int(w) for w in t.split() if w.isascii() and w.isdigit() and len(w) <= 9]
+    every = pairs.pair_features(base).collect()
+    agrees = {r.i1 for r in every if set(number(r.aa)) & set(number(r.ab))}
+    apart = [r for r in every if r.y == 0 and r.i1 in agrees and number(r.aa) and number(r.ab) and not set(number(r.aa)) & set(number(r.ab))]
+    want: dict = {}
+    for r in apart:
+        if (r.jw >= 0.85 or r.b_sub_a or r.a_sub_b) and r.b_minus_a <= 2 and r.a_tsr >= 0.75:
+            want[r.src, r.j] = min(want.get((r.src, r.j), r.i1), r.i1)
+    rows, compared = _compared(monkeypatch, spark, "sibling_selection")
+    assert {(r.src, r.j): r.i1 for r in rows} == want and 0 < compared <= len(apart) < len(every)
