@@ -98,6 +98,15 @@ def test_context_is_that_of_the_rows_given(spark):
             assert r.an_jw == (1.0 if (r.src, r.j) == (best.src, best.j) else similarity.jaro_winkler_text(r.cb, best.cb))
 
 
+def test_gram_sets_are_made_once(spark):
+    got = pairs.gram_features(_pairs(spark))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 6
+    cut = lambda t, n: {t[k : k + n] for k in range(max(len(t) - n, 0) + 1)} if t else set()
+    for r in got.collect():
+        x, z = (cut(t.replace(" ", ""), 4) for t in (r.ca, r.cb))
+        assert abs(r.ng_n4j - (len(x & z) / len(x | z) if x and z else 0.0)) < 1e-9
+
+
 def test_features_of_no_pairs(spark):
     empty = pairs.pair_features(_pairs(spark).limit(0))
     assert pairs.context_features(empty, "i1", ["src", "j"]).count() == 0
