@@ -189,3 +189,17 @@ def test_texts_are_compared_where_numbers_let_a_pair_be_a_sibling(spark, monkeyp
             want[r.src, r.j] = min(want.get((r.src, r.j), r.i1), r.i1)
     rows, compared = _compared(monkeypatch, spark, "sibling_selection")
     assert {(r.src, r.j): r.i1 for r in rows} == want and 0 < compared <= len(apart) < len(every)
+
+
+def test_wide_features_are_written_once(spark, monkeypatch):
+    """What looks at an owner's other candidates works on few columns."""
+    written, write = [], plan.materialize
+    for module in (plan, pairs):
+        monkeypatch.setattr(module, "materialize", lambda df, label: written.append((label, len(df.columns))) or write(df, label))
+    got = plan.pair_features(spark, DATA)
+    assert [label for label, n in written if n > 60] == ["similar"] and set(plan.EVERY) <= set(got.columns)
+    base = plan._base(spark, DATA)
+    keys = {tuple(r) for r in got.select(*plan.IDENT).collect()}
+    assert got.count() == base.count() and keys == {tuple(r) for r in base.select(*plan.IDENT).collect()}
+    want = {tuple(r[:3]): r[3:] for r in plan.name_statistics(spark, DATA).collect()}
+    assert {tuple(r[:3]): r[3:] for r in got.select(*plan.IDENT, *pairs.STATISTICS).collect()} == want
