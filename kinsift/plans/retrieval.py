@@ -9,7 +9,7 @@ from kinsift.operators import blocking, competition, context
 from kinsift.plans import views
 from kinsift.plans.views import CAND_SQL, ENT_SQL
 from kinsift.plans import sqltext
-from kinsift.session import materialize, table
+from kinsift.session import discard, materialize, table
 
 
 def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,9 @@ def retrieval(spark: SparkSession, d: str) -> DataFrame:
     w = blocking.token_weights(pool, sizes, ["country", "kind"], tighter=F.when(F.col("kind") == "x", 200).cast("bigint"))
     left = tok.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "kind", "token")
     right = pool.select(F.col("entity_id").alias("rec_id"), "src", "country", "kind", "token")
-    return blocking.retrieve(left, right, w, ["country"])
+    got = blocking.retrieve(left, right, w, ["country"])
+    discard(tok)
+    return got
 
 
 def topk_ties(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -203,3 +204,18 @@ def test_wide_features_are_written_once(spark, monkeypatch):
     assert got.count() == base.count() and keys == {tuple(r) for r in base.select(*plan.IDENT).collect()}
     want = {tuple(r[:3]): r[3:] for r in plan.name_statistics(spark, DATA).collect()}
     assert {tuple(r[:3]): r[3:] for r in got.select(*plan.IDENT, *pairs.STATISTICS).collect()} == want
+
+
+def test_retrieval_shuffles_pairs_once(spark):
+    """Sums and all seven ranks of an entity's pairs are made where one shuffle brings them."""
+    rows = [(f"S1-{k}", k % 2, "name", f"n:{t}") for k in range(6) for t in range(k, k + 4)]
+    left = spark.createDataFrame(rows, "s1_id string, country int, kind string, token string")
+    right = left.select(F.regexp_replace("s1_id", "S1", "S2").alias("rec_id"), F.lit(2).alias("src"), "country", "kind", "token")
+    w = right.groupBy("country", "kind", "token").agg((1 / F.count(F.lit(1))).alias("w"))
+    got = blocking.retrieve(left, right, w, ["country"])
+    steps = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(s1_id", steps)) == 1 and "Union" not in steps
+    best = {r.s1_id: r.rec_id for r in got.where("r_t = 0").collect()}
+    assert best == {f"S1-{k}": f"S2-{k}" for k in range(6)}
+    assert {c: got.where(f"r_{c} < 99").count() for c in "axy"} == {"a": 0, "x": 0, "y": 0}
+    assert got.where("r_e < 99 and r_n < 99 and r_c < 99").count() == got.count() == 14
