@@ -80,3 +80,16 @@ def test_an_owners_candidates_meet_once(spark):
     """Not one shuffle of all pairs for every score that is ranked: there were 21 such shuffles."""
     steps = plan.pair_features(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert steps.count("Exchange hashpartitioning") <= 3
+
+
+def test_the_matcher_works_in_slices_of_owners(spark, monkeypatch):
+    """No step writes all pairs with all their features, and the features do not depend on the slices."""
+    written, write = [], plan.materialize
+    monkeypatch.setattr(plan, "materialize", lambda df, label: written.append(label) or write(df, label))
+    fitted = {}
+    monkeypatch.setattr(plan.model, "cross_fitted", lambda df, *_, **__: fitted.setdefault(len(fitted), df).withColumn("p", F.col("f_comb")))
+    few = {tuple(r) for r in plan.matcher_scores(spark, DATA).collect()}
+    monkeypatch.setattr(plan, "SLICE", 1000)
+    many = {tuple(r) for r in plan.matcher_scores(spark, DATA).collect()}
+    assert few == many and written.count("features") == 1 + len(few) // 1000 + 1
+    assert fitted[0].exceptAll(fitted[1]).count() == 0 == fitted[1].exceptAll(fitted[0]).count()
