@@ -91,5 +91,5 @@ def test_the_matcher_works_in_slices_of_owners(spark, monkeypatch):
     few = {tuple(r) for r in plan.matcher_scores(spark, DATA).collect()}
     monkeypatch.setattr(plan, "SLICE", 1000)
     many = {tuple(r) for r in plan.matcher_scores(spark, DATA).collect()}
-    assert few == many and written.count("features") == 1 + len(few) // 1000 + 1
+    assert few == many and written.count("features") == 1 + min(plan.SLICES, len(few) // 1000 + 1) > 2
     assert fitted[0].exceptAll(fitted[1]).count() == 0 == fitted[1].exceptAll(fitted[0]).count()
